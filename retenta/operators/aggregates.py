@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import ratio_round
+
 
 def mode_smallest(col) -> Column:
     """MODE() WITHIN GROUP (ORDER BY col): most frequent non-null value, ties -> smallest."""
@@ -21,9 +23,9 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False, digits: int |
     if normalize:
         # scalar subquery: the total is computed once and inlined, no join
         total = df.agg(F.count(F.lit(1))).scalar()
-        share = F.col("count") / total
-        vc = vc.select(col, (F.round(share, digits) if digits is not None else share)
-                       .alias("proportion"))
+        share = (ratio_round(F.col("count"), total, digits) if digits is not None
+                 else F.col("count") / total)
+        vc = vc.select(col, share.alias("proportion"))
         order = [F.col("proportion").desc(), F.col(col).asc_nulls_last()]
     else:
         order = [F.col("count").desc(), F.col(col).asc_nulls_last()]

@@ -12,7 +12,10 @@ from pyspark.sql import SparkSession
 
 from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import load_fixture_tables
-from . import dashboards, features, kpis
+from ..ml import metrics
+from ..operators.aggregates import null_counts, shape, value_counts
+from ..params import RECALL_TARGETS, SEED, TEST_FRACTION
+from . import dashboards, features, kpis, modelling
 
 D3_MIN_CUSTOMERS_FIXTURE = 100
 D4_CUTOFF_FIXTURE = "1996-01-01"
@@ -44,7 +47,48 @@ QUERIES = {
 }
 
 
+def _scored(fn, **kw):
+    return lambda spark, sf_dir: fn(modelling.heuristic_scored(_tables(spark, sf_dir)), **kw)
+
+
+def _profile(part):
+    return lambda spark, sf_dir: features.feature_profile(
+        features.first_order_features(_tables(spark, sf_dir)))[part]
+
+
+QUERIES.update({
+    # feature profile
+    "x2_shape": _profile("shape"),
+    "x2_class_balance": _profile("class_balance"),
+    "x2_null_counts": _profile("null_counts"),
+    "x2_preview": _profile("preview"),
+    # model preparation (X3, M1-M8) and split (M9)
+    "x3_model_frame": _on_tables(modelling.model_frame_long),
+    "m9_stratified_split": _on_tables(modelling.split_assignment),
+    # metric operators on a deterministic score over the whole feature table
+    "e2_roc_auc": _scored(metrics.roc_auc),
+    "e3_average_precision": _scored(metrics.average_precision),
+    "e4_positive_rate": _scored(metrics.positive_rate),
+    "e5_pr_curve": _scored(metrics.pr_curve),
+    "e6_confusion_matrix": _scored(metrics.confusion_matrix),
+    "e7_classification_report": _scored(metrics.classification_report),
+    "t4_threshold_scenarios": _scored(metrics.threshold_scenarios),
+    # trained models (no SQL oracle: iterative solvers)
+    "t1_logistic_regression": _on_tables(modelling.logistic_eval, variant="baseline"),
+    "t2_random_forest": _on_tables(modelling.forest_eval),
+    "t3_boosted_trees": _on_tables(modelling.boosted_eval),
+    "t6_feature_importance": _on_tables(modelling.forest_importances),
+    "x4_evaluation_report": lambda spark, sf_dir: modelling.evaluation_report(
+        _tables(spark, sf_dir))["metrics"],
+    "d7_threshold_decision_matrix": lambda spark, sf_dir: modelling.evaluation_report(
+        _tables(spark, sf_dir))["decision_matrix"],
+})
+
+
 def oracle_sql() -> dict[str, str]:
     import oracle_queries as oq
     out = oq.composite_sql(D3_MIN_CUSTOMERS_FIXTURE, D4_CUTOFF_FIXTURE)
+    out.update(oq.metrics_sql(RECALL_TARGETS))
+    out.update(oq.profile_sql())
+    out.update(oq.model_sql(SEED, TEST_FRACTION))
     return {k: v for k, v in out.items() if k in QUERIES}
