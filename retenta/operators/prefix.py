@@ -30,7 +30,8 @@ def range_ids(df: DataFrame, order_col: str, parts: int) -> DataFrame:
 
 def cumulative_sums(df: DataFrame, order_col: str, cols: list[str], descending: bool = True,
                     parts: int | None = None, prefix: str = "cum_") -> DataFrame:
-    """Running sums of ``cols`` over ``order_col`` (inclusive), one row per input row.
+    """Running sums of ``cols`` over ``order_col`` (inclusive), one row per input row,
+    plus the grand totals ``total_<col>`` (carried by the small offsets table).
 
     ``order_col`` should be unique per row (e.g. after grouping by it), so the
     running order is total.
@@ -45,8 +46,13 @@ def cumulative_sums(df: DataFrame, order_col: str, cols: list[str], descending:
     # offsets: sum of totals of ranges that come earlier in the running order
     before = (Window.orderBy(F.col("_part").desc() if descending else F.col("_part").asc())
               .rowsBetween(Window.unboundedPreceding, -1))
-    offs = totals.select("_part", *[F.coalesce(F.sum("_t_" + c).over(before), F.lit(0))
-                                    .alias("_o_" + c) for c in cols])
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offs = totals.select("_part",
+                         *[F.coalesce(F.sum("_t_" + c).over(before), F.lit(0)).alias("_o_" + c)
+                           for c in cols],
+                         *[F.sum("_t_" + c).over(everything).alias("total_" + c) for c in cols])
+    # the offsets table has one row per range (``parts`` rows): a proven broadcast bound
     out = local.join(F.broadcast(offs), "_part")
     return out.select(*[c for c in r.columns if c != "_part"],
-                      *[(F.col(prefix + c) + F.col("_o_" + c)).alias(prefix + c) for c in cols])
+                      *[(F.col(prefix + c) + F.col("_o_" + c)).alias(prefix + c) for c in cols],
+                      *[F.col("total_" + c) for c in cols])
