@@ -15,6 +15,7 @@ from ..functions.dates import is_weekend, weekday_monday0
 from ..functions.exprs import flag, null_flag, safe_div
 from ..operators.aggregates import value_counts
 from ..operators.order_stats import bucket_count_for, exact_median, kth_smallest
+from ..session import materialize
 from ..params import LOW_REVIEW_MAX, SEED, TEST_FRACTION, TOP_CATEGORIES
 
 LABEL = "became_repeat_buyer"
@@ -131,7 +132,7 @@ def stratified_split(df: DataFrame, label: str = LABEL, id_col: str = "customer_
     the key are taken in id order, so the test share per class is exact.
     """
     key = key if key is not None else hash_key(id_col, seed)
-    k = df.withColumn("_key", key.cast("double"))
+    k = materialize(df.withColumn("_key", key.cast("double")))
     counts = {r[label]: r["n"] for r in k.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     frac = Fraction(test_fraction).limit_denominator(10**6)
     need = {c: -(-n * frac.numerator // frac.denominator) for c, n in counts.items()}
@@ -191,13 +192,8 @@ def prepare(features: DataFrame, variant: str = "improved") -> tuple[DataFrame,
     Returns the encoded frame and the fitted values (medians, levels) so that
     new data can be encoded identically.
     """
-    f = add_flags(features, variant)
-    if variant == "baseline":
-        f = f.drop(*[c for c in f.columns if c in (
-            "delivered_late", "purchase_month", "purchase_dow", "is_weekend",
-            "avg_item_value", "paid_in_installments", "bad_first_review")])
+    f = materialize(add_flags(features, variant))
     med = imputation_values(f, variant)
-    f = drop_incomplete(impute(f, med))
-    f = bucket_top_categories(f)
+    f = bucket_top_categories(drop_incomplete(impute(f, med)))
     levels = category_levels(f)
     return one_hot(f, levels), {"medians": med, "levels": levels}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources.fixtures import load_fixture_tables
 from ..ml import metrics
 from ..operators.aggregates import null_counts, shape, value_counts
@@ -25,10 +25,21 @@ D3_MIN_CUSTOMERS_FIXTURE = 100
 D4_CUTOFF_FIXTURE = "1996-01-01"
 
 
+_TABLES: dict = {}
+
+
 def _tables(spark: SparkSession, sf_dir: str):
+    """The mapped reference tables, built once per session and input folder.
+
+    They are lazy plans (nothing is cached in memory); reusing them only saves
+    re-resolving ten Parquet relations for every query.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ensure_checkpoint_dir(spark)
-    return load_fixture_tables(spark, sf_dir)
+    k = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if k not in _TABLES:
+        ensure_checkpoint_dir(spark)
+        _TABLES[k] = load_fixture_tables(spark, sf_dir)
+    return _TABLES[k]
 
 
 def _on_tables(fn, **kw):
@@ -110,7 +121,7 @@ def _order_category_mode(spark, sf_dir):
 
 def _medians(spark, sf_dir):
     f = modelling.prep.add_flags(features.first_order_features(_tables(spark, sf_dir)))
-    f = f.persist()
+    f = materialize(f)
     vals = {c: exact_median(f, c).get(None)
             for c in ("delivery_days", "review_score", "avg_item_value")}
     # the medians are three scalars; they come back as a one-row frame built from f

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every query in this package assumes:
 # - UTC session zone: month truncation of TIMESTAMP_NTZ goes through the session
@@ -63,3 +63,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/retenta/{name}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing ``df`` to the shared checkpoint folder (reliable checkpoint).
+
+    Used where one intermediate is read by several jobs (medians, level lists,
+    quantile bounds, split cuts): it is computed once, and a lost executor
+    re-reads the written files instead of recomputing the whole join lineage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
