@@ -2,17 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio_round
 
 
 def mode_smallest(col) -> Column:
-    """MODE() WITHIN GROUP (ORDER BY col): most frequent non-null value, ties -> smallest."""
+    """MODE() WITHIN GROUP (ORDER BY col): most frequent non-null value, ties -> smallest.
+
+    Built-in form with a per-group value->count map buffer; fine for small groups.
+    ``grouped_mode`` is the form used on large inputs.
+    """
     return F.mode(col, deterministic=True)
 
 
+def grouped_mode(df: DataFrame, keys: list[str], value: str, out: str,
+                 sums: dict | None = None, maxes: dict | None = None) -> DataFrame:
+    """Per key: the modal non-null ``value`` (ties -> smallest) plus optional SUM/MAX columns.
+
+    Two levels instead of a map-buffer aggregate:
+    1. COUNT (and partial SUM/MAX) per (keys, value): a codegen'd hash aggregate
+       with map-side partial aggregation, so a hot key shrinks before the shuffle;
+    2. one window per key ranks its (bounded: distinct values per key) rows by
+       (value IS NULL, count desc, value asc); the first row carries the mode and
+       the per-key totals. The NULL-value group still counts toward the sums.
+    ``sums``/``maxes`` map output name -> input column expression.
+    """
+    sums, maxes = sums or {}, maxes or {}
+    lvl1 = df.groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()],
+        *[F.max(c).alias(f"_m_{o}") for o, c in maxes.items()])
+    w = Window.partitionBy(*keys)
+    ranked = lvl1.select(
+        *keys, value,
+        F.row_number().over(w.orderBy(F.col(value).isNull(), F.col("_n").desc(),
+                                      F.col(value).asc())).alias("_r"),
+        *[F.sum(f"_s_{o}").over(w).alias(o) for o in sums],
+        *[F.max(f"_m_{o}").over(w).alias(o) for o in maxes])
+    return ranked.filter(F.col("_r") == 1).select(*keys, F.col(value).alias(out), *sums, *maxes)
+
+
 def value_counts(df: DataFrame, col: str, normalize: bool = False, digits: int | None = None,
                  top: int | None = None) -> DataFrame:
     """value_counts (A19), optionally normalised (A20) and limited to the top n.

@@ -32,6 +32,8 @@ def first_order_features(t: Tables, method: str = "aggregate") -> DataFrame:
         base.person_orders(t),
         payload=["customer_state", "order_delivered_customer_date", "order_estimated_delivery_date"],
         method=method)
+    # built-in mode (partial aggregation with a small value->count map per order); measured
+    # faster here than the two-level ``grouped_mode``, which needs two more exchanges
     items = base.categorised_items(t).groupBy("order_id").agg(
         mode_smallest("category").alias("product_category"),
         F.sum(F.col("price") + F.col("freight_value")).alias("order_value"),

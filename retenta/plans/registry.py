@@ -17,7 +17,7 @@ from ..ml import metrics
 from ..operators.aggregates import null_counts, shape, value_counts
 from ..params import RECALL_TARGETS, SEED, TEST_FRACTION
 from ..operators import base, quality
-from ..operators.aggregates import mode_smallest
+from ..operators.aggregates import grouped_mode, mode_smallest
 from ..operators.order_stats import exact_median
 from . import dashboards, features, ingest, kpis, modelling
 
@@ -115,6 +115,11 @@ def _first_orders(method):
 
 
 def _order_category_mode(spark, sf_dir):
+    items = base.categorised_items(_tables(spark, sf_dir))
+    return grouped_mode(items, ["order_id"], "category", "product_category")
+
+
+def _order_category_mode_builtin(spark, sf_dir):
     items = base.categorised_items(_tables(spark, sf_dir))
     return items.groupBy("order_id").agg(mode_smallest("category").alias("product_category"))
 
@@ -136,6 +141,7 @@ QUERIES.update({
     "w3_first_order_window": _first_orders("window"),
     # mode (A11) and exact median
     "a11_mode_category_per_order": _order_category_mode,
+    "a11_mode_category_per_order_builtin": _order_category_mode_builtin,
     "a18_exact_medians": _medians,
     # integrity (S6-S8), CSV round trip
     "s6_duplicate_item_keys": _on_tables(ingest.duplicate_item_keys),
