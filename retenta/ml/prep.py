@@ -197,3 +197,18 @@ def prepare(features: DataFrame, variant: str = "improved") -> tuple[DataFrame,
     f = bucket_top_categories(drop_incomplete(impute(f, med)))
     levels = category_levels(f)
     return one_hot(f, levels), {"medians": med, "levels": levels}
+
+
+def class_weight_table(df: DataFrame, label: str = LABEL) -> DataFrame:
+    """M11/M12 as a table: per class its count, the balanced weight n / (2 n_c) and the
+    positive-class weight neg / pos (1 for negatives). One aggregation, no driver values."""
+    from pyspark.sql import Window
+    c = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_class"))
+    everything = Window.partitionBy()  # over the per-class table: one row per class
+    n = F.sum("n_class").over(everything)
+    k = F.count(F.lit(1)).over(everything)
+    neg = F.sum(F.when(F.col("label") == 0, F.col("n_class"))).over(everything)
+    return c.select("label", "n_class",
+                    (n / (k * F.col("n_class"))).alias("balanced_weight"),
+                    F.when(F.col("label") == 1, neg / F.col("n_class")).otherwise(F.lit(1.0))
+                     .alias("positive_weight"))

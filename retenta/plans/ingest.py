@@ -43,3 +43,16 @@ def untranslated_categories(t: Tables) -> DataFrame:
 def null_person_keys(t: Tables) -> DataFrame:
     """S8 on customers.customer_unique_id."""
     return quality.null_keys(t.customers, schemas.NOT_NULL["customers"])
+
+
+def stream_round_trip(spark: SparkSession, t: Tables, table: str, tag: str) -> DataFrame:
+    """S1/S5 as a stream: publish CSV, ingest it with the file-source stream, read the Parquet."""
+    from ..streaming.ingest import ingest
+    key = hashlib.sha1(tag.encode()).hexdigest()[:12]
+    base_dir = scratch_path(spark, f"stream_round_trip/{table}-{key}")
+    import uuid
+    run = uuid.uuid4().hex[:8]
+    src, out, cp = f"{base_dir}/src-{run}", f"{base_dir}/out-{run}", f"{base_dir}/cp-{run}"
+    sinks.write_csv(conform(getattr(t, table), table), src)
+    ingest(spark, src, table, out, checkpoint=cp)
+    return spark.read.schema(schemas.SCHEMAS[table]).parquet(out)

@@ -150,9 +150,28 @@ QUERIES.update({
     "s6_s8_constraint_report": _on_tables(quality.constraint_report),
     "s1_csv_round_trip_orders": lambda spark, sf_dir: ingest.csv_round_trip(
         spark, _tables(spark, sf_dir), "orders", sf_dir),
+    "s5_stream_ingest_orders": lambda spark, sf_dir: ingest.stream_round_trip(
+        spark, _tables(spark, sf_dir), "orders", sf_dir),
+    # top-15 categories (M6/L5) and class weights on the training split
+    "m6_top_categories": lambda spark, sf_dir: _top_categories(spark, sf_dir),
+    "m11_class_weights": lambda spark, sf_dir: _class_weights(spark, sf_dir),
 })
 
 
+def _top_categories(spark, sf_dir):
+    f = modelling.prep.impute(features.first_order_features(_tables(spark, sf_dir)),
+                              {"delivery_days": None})
+    f = modelling.prep.drop_incomplete(f)
+    return value_counts(f, "product_category", top=15).select(
+        "product_category", F.col("count").alias("n_customers"))
+
+
+def _class_weights(spark, sf_dir):
+    split = modelling.split_assignment(_tables(spark, sf_dir))
+    train = split.filter("is_test = 0").withColumnRenamed("label", modelling.prep.LABEL)
+    return modelling.prep.class_weight_table(train)
+
+
 def oracle_sql() -> dict[str, str]:
     import oracle_queries as oq
     out = oq.composite_sql(D3_MIN_CUSTOMERS_FIXTURE, D4_CUTOFF_FIXTURE)
