@@ -179,4 +179,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oq.profile_sql())
     out.update(oq.model_sql(SEED, TEST_FRACTION))
     out.update(oq.operator_sql())
+    out.update(oq.constraint_sql())
     return {k: v for k, v in out.items() if k in QUERIES}

@@ -46,7 +46,7 @@ def test_query_matches_oracle(spark, duck, name):
 def test_every_query_has_oracle_or_is_iterative():
     import __spark_entry__ as E
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing <= SLOW | {"s6_s8_constraint_report"}
+    assert missing <= SLOW
 
 
 def test_entry_smoke(spark):
