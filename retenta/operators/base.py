@@ -28,6 +28,8 @@ def person_orders(t: Tables, excluded=EXCLUDED_STATUSES) -> DataFrame:
     Both sides have order grain; the join is a shuffle join on customer_id
     (AQE picks sort-merge or shuffled-hash from runtime sizes).
     """
+    if t.shared_person_orders is not None and tuple(excluded) == tuple(EXCLUDED_STATUSES):
+        return t.shared_person_orders
     o = valid_orders(t.orders, excluded).select(
         "order_id", "customer_id", TS, "order_delivered_customer_date",
         "order_estimated_delivery_date")

@@ -20,8 +20,12 @@ class Tables:
     order_payments: DataFrame
     order_reviews: DataFrame
 
+    # optional precomputed valid-orders ⋈ customers relation shared by many queries
+    shared_person_orders: DataFrame | None = None
+
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: getattr(self, f.name) for f in fields(self)
+                if f.name != "shared_person_orders"}
 
     def register_views(self, prefix: str = "") -> None:
         """Expose every table to spark.sql under its reference name."""

@@ -42,3 +42,16 @@ def test_quality_jobs_find_planted_violations(spark):
            for r in quality.constraint_report(t).collect()}
     assert rep[("primary_key", "order_items", "order_id,order_item_id")] == 2
     assert rep[("not_null", "customers", "customer_unique_id")] == 0
+
+
+def test_stream_ingest_exactly_once(spark, tmp_path):
+    from retenta.streaming.ingest import ingest
+    src, out, cp = tmp_path / "src", tmp_path / "out", tmp_path / "cp"
+    src.mkdir()
+    header = "order_id,payment_sequential,payment_type,payment_installments,payment_value\n"
+    (src / "a.csv").write_text(header + "o1,1,boleto,1,1.00\no2,1,voucher,2,2.50\n")
+    ingest(spark, str(src), "order_payments", str(out), checkpoint=str(cp))
+    (src / "b.csv").write_text(header + "o3,1,credit_card,3,3.00\n")
+    ingest(spark, str(src), "order_payments", str(out), checkpoint=str(cp))  # only the new file
+    got = sorted(r["order_id"] for r in spark.read.parquet(str(out)).collect())
+    assert got == ["o1", "o2", "o3"]
