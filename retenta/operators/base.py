@@ -80,18 +80,50 @@ def first_order_per_person(po: DataFrame, payload=(), method: str = "aggregate")
                       *[F.col(f"_first.{p}").alias(p) for p in payload], "total_orders")
 
 
-def rank_orders_within_person(po: DataFrame) -> DataFrame:
+def rank_orders_within_person(po: DataFrame, method: str = "ranges",
+                              parts: int | None = None) -> DataFrame:
     """Every valid order with its rank inside its person and the person's order count.
 
-    The full ranking needs every order of a person in one window partition; use
-    ``first_order_per_person`` when only the first order is wanted.
+    ``window``: ROW_NUMBER / COUNT(*) OVER (PARTITION BY person) — every order of
+    a person is sorted inside one task.
+
+    ``ranges`` (default, skew-safe): the orders are range-partitioned on
+    (person, ts IS NULL, ts, order_id), so a person owning a third of all orders
+    spans several ranges, and written once (deterministic range ids). Ranks are
+    computed inside each (range, person), then shifted by the counts of the
+    same person in earlier ranges. That offsets table has one row per
+    (range, person) and per person at most ``parts`` rows. The person's total
+    is the sum of those counts.
     """
-    w = Window.partitionBy(PERSON)
-    return po.select(
-        PERSON, "order_id", TS,
-        F.row_number().over(w.orderBy(F.col(TS).asc_nulls_last(), F.col("order_id")))
-         .alias("order_rank"),
-        F.count(F.lit(1)).over(w).alias("total_orders"))
+    if method == "window":
+        w = Window.partitionBy(PERSON)
+        return po.select(
+            PERSON, "order_id", TS,
+            F.row_number().over(w.orderBy(F.col(TS).asc_nulls_last(), F.col("order_id")))
+             .alias("order_rank"),
+            F.count(F.lit(1)).over(w).alias("total_orders"))
+    from ..session import materialize
+    spark = po.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tnull = F.col(TS).isNull().alias("_tnull")
+    r = (po.select(PERSON, "order_id", TS, tnull)
+           .repartitionByRange(parts, PERSON, "_tnull", TS, "order_id")
+           .withColumn("_range", F.spark_partition_id()))
+    r = materialize(r)
+    order = [F.col("_tnull"), F.col(TS), F.col("order_id")]
+    local = r.withColumn("_local", F.row_number().over(
+        Window.partitionBy("_range", PERSON).orderBy(*order)))
+    counts = r.groupBy("_range", PERSON).agg(F.count(F.lit(1)).alias("_n"))
+    wp = Window.partitionBy(PERSON)
+    offs = counts.select(
+        "_range", PERSON,
+        F.coalesce(F.sum("_n").over(wp.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+        F.sum("_n").over(wp).alias("total_orders"))
+    return (local.join(offs, ["_range", PERSON])
+                 .select(PERSON, "order_id", TS,
+                         (F.col("_local") + F.col("_off")).cast("int").alias("order_rank"),
+                         "total_orders"))
 
 
 def categorised_items(t: Tables) -> DataFrame:

@@ -137,6 +137,8 @@ QUERIES.update({
     # windows and first-order selection
     "w1_rank_orders_within_person": lambda spark, sf_dir: base.rank_orders_within_person(
         base.person_orders(_tables(spark, sf_dir))),
+    "w1_rank_orders_within_person_window": lambda spark, sf_dir: base.rank_orders_within_person(
+        base.person_orders(_tables(spark, sf_dir)), method="window"),
     "w3_first_order_aggregate": _first_orders("aggregate"),
     "w3_first_order_window": _first_orders("window"),
     # mode (A11) and exact median

@@ -91,3 +91,18 @@ def test_d3_drops_null_category_and_needs_items(t):
     # A -> a (repeat), D -> a (repeat), E -> b (one-time); B has NULL category; C has no items
     assert r["a"]["first_time_customers"] == 2 and r["a"]["repeat_rate_pct"] == 100.0
     assert r["b"]["first_time_customers"] == 1 and None not in r
+
+
+def test_skew_safe_ranking_matches_window(spark):
+    """One person owns most rows; the range form must equal the window form exactly."""
+    import datetime as dt
+    from retenta.operators.base import rank_orders_within_person
+    rows = [("hot", f"o{i:04d}", dt.datetime(2017, 1, 1) + dt.timedelta(hours=i % 97)) for i in range(900)]
+    rows += [(f"p{i}", f"q{i}", dt.datetime(2017, 2, 1)) for i in range(50)]
+    rows += [("hot", "znull", None)]
+    po = spark.createDataFrame(rows, "customer_unique_id string, order_id string, order_purchase_timestamp timestamp_ntz")
+    a = sorted(rank_orders_within_person(po, method="ranges", parts=7).collect())
+    b = sorted(rank_orders_within_person(po, method="window").collect())
+    assert a == b
+    top = [r for r in a if r["customer_unique_id"] == "hot"]
+    assert max(r["order_rank"] for r in top) == 901 and top[0]["total_orders"] == 901
