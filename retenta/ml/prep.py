@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import is_weekend, weekday_monday0
 from ..functions.exprs import flag, null_flag, safe_div
 from ..operators.aggregates import value_counts
-from ..operators.order_stats import bucket_count_for, exact_median, kth_smallest
+from ..operators.order_stats import bucket_count_for, exact_medians, kth_smallest, value_stats
 from ..session import materialize
 from ..params import LOW_REVIEW_MAX, SEED, TEST_FRACTION, TOP_CATEGORIES
 
@@ -52,7 +52,7 @@ def add_flags(df: DataFrame, variant: str = "improved") -> DataFrame:
 def imputation_values(df: DataFrame, variant: str = "improved") -> dict:
     """Exact medians (pandas semantics) over all rows before the drop (M4)."""
     med_cols = ["delivery_days", "review_score"] + (["avg_item_value"] if variant == "improved" else [])
-    return {c: exact_median(df, c).get(None) for c in med_cols}
+    return exact_medians(df, med_cols)
 
 
 def impute(df: DataFrame, medians: dict) -> DataFrame:
@@ -84,12 +84,20 @@ def bucket_top_categories(df: DataFrame, col: str = "product_category",
 
 def category_levels(df: DataFrame, cols=CATEGORICAL) -> dict[str, list]:
     """Sorted distinct levels per categorical column (collected; bounded by MAX_LEVELS)."""
-    out = {}
+    cols = list(cols)
+    parts = None
     for c in cols:
-        lv = [r[0] for r in df.select(c).distinct().orderBy(c).limit(MAX_LEVELS + 1).collect()]
+        p = df.select(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_l"))
+        parts = p if parts is None else parts.unionByName(p)
+    # one job; at most (MAX_LEVELS + 1) levels per column ever reach the driver
+    ranked = parts.distinct().withColumn(
+        "_i", F.row_number().over(Window.partitionBy("_c").orderBy(F.col("_l").asc_nulls_first())))
+    out = {c: [] for c in cols}
+    for r in ranked.filter(F.col("_i") <= MAX_LEVELS + 1).orderBy("_c", "_i").collect():
+        out[r["_c"]].append(r["_l"])
+    for c, lv in out.items():
         if len(lv) > MAX_LEVELS:
             raise ValueError(f"{c} has more than {MAX_LEVELS} levels; one-hot is not sensible")
-        out[c] = lv
     return out
 
 
@@ -133,23 +141,31 @@ def stratified_split(df: DataFrame, label: str = LABEL, id_col: str = "customer_
     """
     key = key if key is not None else hash_key(id_col, seed)
     k = materialize(df.withColumn("_key", key.cast("double")))
-    counts = {r[label]: r["n"] for r in k.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    stats = value_stats(k, ["_key"], label)  # per class: n, min and max key in one pass
+    counts = {int(g): n for (_, g), (n, _, _) in stats.items()}
     frac = Fraction(test_fraction).limit_denominator(10**6)
     need = {c: -(-n * frac.numerator // frac.denominator) for c, n in counts.items()}
     n_max = max(counts.values()) if counts else 0
     ks = {c: [q - 1] for c, q in need.items() if q > 0}
-    cut = kth_smallest(k, "_key", ks, group=label, buckets=bucket_count_for(n_max))
+    cut = kth_smallest(k, "_key", ks, group=label, buckets=bucket_count_for(n_max), stats=stats)
+    cuts = {c: cut[(c, q - 1)] for c, q in need.items() if q > 0}
+    # one job: per class, rows strictly below the cut and rows tied with it
+    aggs = []
+    for i, (c, v) in enumerate(cuts.items()):
+        in_c = F.col(label) == F.lit(c)
+        aggs += [F.count_if(in_c & (F.col("_key") < v)).alias(f"b{i}"),
+                 F.count_if(in_c & (F.col("_key") == v)).alias(f"t{i}")]
+    counts_row = k.agg(*aggs).first() if aggs else None
     cond = F.lit(False)
-    for c, q in need.items():
-        if q <= 0:
+    for i, (c, v) in enumerate(cuts.items()):
+        in_class = F.col(label) == F.lit(c)
+        take = need[c] - counts_row[f"b{i}"]
+        if counts_row[f"t{i}"] <= take:  # the usual case: the cut key is unique
+            cond = cond | (in_class & (F.col("_key") <= v))
             continue
-        v = cut[(c, q - 1)]
-        below = k.filter((F.col(label) == c) & (F.col("_key") < v)).count()
-        take = q - below  # rows sharing the cut key, taken by id order
-        ties = (k.filter((F.col(label) == c) & (F.col("_key") == v))
-                 .orderBy(id_col).limit(take).select(id_col))
-        tie_ids = [r[0] for r in ties.collect()]  # at most the tie count at one key value
-        in_class = F.col(label) == c
+        # several rows share the cut key: take them in id order (at most the tie count)
+        ties = (k.filter(in_class & (F.col("_key") == v)).orderBy(id_col).limit(take).select(id_col))
+        tie_ids = [r[0] for r in ties.collect()]
         cond = cond | (in_class & ((F.col("_key") < v) | F.col(id_col).isin(tie_ids)))
     return k.withColumn("is_test", cond).drop("_key")
 

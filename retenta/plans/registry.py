@@ -18,7 +18,7 @@ from ..operators.aggregates import null_counts, shape, value_counts
 from ..params import RECALL_TARGETS, SEED, TEST_FRACTION
 from ..operators import base, quality
 from ..operators.aggregates import grouped_mode, mode_smallest
-from ..operators.order_stats import exact_median
+from ..operators.order_stats import exact_medians
 from . import dashboards, features, ingest, kpis, modelling
 
 D3_MIN_CUSTOMERS_FIXTURE = 100
@@ -127,8 +127,7 @@ def _order_category_mode_builtin(spark, sf_dir):
 def _medians(spark, sf_dir):
     f = modelling.prep.add_flags(features.first_order_features(_tables(spark, sf_dir)))
     f = materialize(f)
-    vals = {c: exact_median(f, c).get(None)
-            for c in ("delivery_days", "review_score", "avg_item_value")}
+    vals = exact_medians(f, ["delivery_days", "review_score", "avg_item_value"])
     # the medians are three scalars; they come back as a one-row frame built from f
     return f.agg(*[F.lit(v).cast("double").alias(f"{c}_median") for c, v in vals.items()])
 

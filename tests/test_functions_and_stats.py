@@ -70,3 +70,15 @@ def test_cumulative_sums_across_ranges(spark):
     for s, x in sorted(rows, reverse=True):
         run += x
         assert out[s] == (run, total)
+
+
+def test_exact_medians_several_columns_with_refinement(spark):
+    from retenta.operators.order_stats import exact_medians
+    rng = random.Random(1)
+    rows = [(rng.gauss(0, 1), float(rng.randint(1, 5)) if rng.random() < 0.9 else None, rng.expovariate(1.0))
+            for _ in range(2001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = exact_medians(df, ["a", "b", "c"], buckets=4, max_exact=50)
+    for i, c in enumerate("abc"):
+        vals = [r[i] for r in rows if r[i] is not None]
+        assert got[c] == float(np.median(vals))
