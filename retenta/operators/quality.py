@@ -34,31 +34,48 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
 
 
 def constraint_report(t: Tables) -> DataFrame:
-    """Every declared constraint with its violation count: one row per constraint."""
+    """Every declared constraint with its violation count: one row per constraint.
+
+    One grouped pass per keyed table yields both the duplicate-key rows and the
+    NULL-key rows (and the NOT NULL count of that table); one left-anti join
+    per foreign key yields the orphans.
+    """
     d = t.as_dict()
-    spark = t.orders.sparkSession
     parts = []
+
+    def row(kind, table, cols, v):
+        return v.select(F.lit(kind).alias("kind"), F.lit(table).alias("table_name"),
+                        F.lit(cols).alias("columns"), F.col("v").cast("long").alias("violations"))
+
     for table, keys in schemas.PRIMARY_KEYS.items():
-        dup = duplicate_keys(d[table], keys).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("v"))
-        parts.append(dup.select(F.lit("primary_key").alias("kind"), F.lit(table).alias("table_name"),
-                                F.lit(",".join(keys)).alias("columns"),
-                                F.col("v").cast("long").alias("violations")))
-        nk = null_keys(d[table], keys).agg(F.count(F.lit(1)).alias("v"))
-        parts.append(nk.select(F.lit("primary_key_null").alias("kind"), F.lit(table).alias("table_name"),
-                               F.lit(",".join(keys)).alias("columns"),
-                               F.col("v").cast("long").alias("violations")))
+        nn_cols = schemas.NOT_NULL.get(table, [])
+        any_null = F.lit(False)
+        for k in keys:
+            any_null = any_null | F.col(k).isNull()
+        nn = F.lit(False)
+        for c in nn_cols:
+            nn = nn | F.col(c).isNull()
+        g = d[table].groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                        F.count_if(nn).alias("nn"))
+        s_ = g.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("dup"),
+                   F.coalesce(F.sum(F.when(any_null, F.col("n"))), F.lit(0)).alias("nul"),
+                   F.coalesce(F.sum("nn"), F.lit(0)).alias("nn"))
+        s_ = s_.select(F.explode(F.array(
+            F.struct(F.lit("primary_key").alias("kind"), F.col("dup").alias("v")),
+            F.struct(F.lit("primary_key_null").alias("kind"), F.col("nul").alias("v")),
+            F.struct(F.lit("not_null").alias("kind"), F.col("nn").alias("v")))).alias("x"))
+        s_ = s_.select("x.kind", "x.v")
+        if not nn_cols:
+            s_ = s_.filter(F.col("kind") != "not_null")
+        parts.append(s_.select(
+            "kind", F.lit(table).alias("table_name"),
+            F.when(F.col("kind") == "not_null", F.lit(",".join(nn_cols)))
+             .otherwise(F.lit(",".join(keys))).alias("columns"),
+            F.col("v").cast("long").alias("violations")))
     for child, fk, parent, pk in schemas.FOREIGN_KEYS:
         o = orphans(d[child], fk, d[parent], pk).agg(F.count(F.lit(1)).alias("v"))
-        parts.append(o.select(F.lit("foreign_key").alias("kind"), F.lit(child).alias("table_name"),
-                              F.lit(f"{fk}->{parent}.{pk}").alias("columns"),
-                              F.col("v").cast("long").alias("violations")))
-    for table, cols in schemas.NOT_NULL.items():
-        nn = null_keys(d[table], cols).agg(F.count(F.lit(1)).alias("v"))
-        parts.append(nn.select(F.lit("not_null").alias("kind"), F.lit(table).alias("table_name"),
-                               F.lit(",".join(cols)).alias("columns"),
-                               F.col("v").cast("long").alias("violations")))
+        parts.append(row("foreign_key", child, f"{fk}->{parent}.{pk}", o))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    del spark
     return out
