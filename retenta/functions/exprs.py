@@ -24,10 +24,12 @@ def ratio_round(num, den, scale: int = 2) -> Column:
     """
     num, den = _c(num).cast("long"), _c(den).cast("long")
     m = 10 ** scale
-    n = F.abs(num) * (2 * m) + den
-    d = den * 2
-    q = (n - n % d) / d
-    return F.when(den != 0, F.signum(num) * q / F.lit(float(m)))
+    big = "decimal(38,0)"
+    n = F.abs(num).cast(big) * (2 * m) + den.cast(big)
+    d = den.cast(big) * 2
+    # n - n % d is an exact multiple of d: the decimal quotient is the exact integer floor
+    q = ((n - n % d) / d).cast(big)
+    return F.when(den != 0, F.signum(num) * q.cast("double") / F.lit(float(m)))
 
 
 def pct(part, whole) -> Column:
