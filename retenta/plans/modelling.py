@@ -34,6 +34,15 @@ def split_assignment(t: Tables, key: str = "lehmer") -> DataFrame:
                     F.col("is_test").cast("int").alias("is_test"))
 
 
+def standardized_frame(t: Tables, variant: str = "improved") -> DataFrame:
+    """The model frame with numeric columns scaled by train-split mean and population std
+    (fitted on train only, applied to both splits); ``is_test`` marks the split."""
+    enc = model_frame(t, variant)
+    s = prep.stratified_split(enc)
+    train = s.filter(~F.col("is_test"))
+    return prep.standardize(s, prep.NUMERIC[variant], fit_on=train)
+
+
 def heuristic_scored(t: Tables) -> DataFrame:
     """A deterministic score on the whole feature table for exercising the metric operators:
     score = first-order value, prediction = 1 when the first order has at least 4 items."""

@@ -11,14 +11,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, materialize
-from ..sources.fixtures import load_fixture_tables
 from ..ml import metrics
-from ..operators.aggregates import null_counts, shape, value_counts
-from ..params import RECALL_TARGETS, SEED, TEST_FRACTION
 from ..operators import base, quality
-from ..operators.aggregates import grouped_mode, mode_smallest
+from ..operators.aggregates import grouped_mode, mode_smallest, value_counts
 from ..operators.order_stats import exact_medians
+from ..params import RECALL_TARGETS, SEED, TEST_FRACTION
+from ..session import ensure_checkpoint_dir, materialize
+from ..sources.fixtures import load_fixture_tables
 from . import dashboards, features, ingest, kpis, modelling
 
 D3_MIN_CUSTOMERS_FIXTURE = 100
@@ -80,6 +79,7 @@ QUERIES.update({
     # model preparation (X3, M1-M8) and split (M9)
     "x3_model_frame": _on_tables(modelling.model_frame_long),
     "m9_stratified_split": _on_tables(modelling.split_assignment),
+    "m10_standardized_frame": _on_tables(modelling.standardized_frame),
     # metric operators on a deterministic score over the whole feature table
     "e2_roc_auc": _scored(metrics.roc_auc),
     "e3_average_precision": _scored(metrics.average_precision),

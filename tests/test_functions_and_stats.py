@@ -6,7 +6,6 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from retenta.functions.dates import fractional_days, months_apart, weekday_monday0
 from retenta.functions.exprs import money_avg, pct

@@ -6,7 +6,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"t1_logistic_regression", "t2_random_forest", "t3_boosted_trees", "t6_feature_importance",
-        "x4_evaluation_report", "d7_threshold_decision_matrix"}
+        "x4_evaluation_report", "d7_threshold_decision_matrix", "m10_standardized_frame"}
 
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver tables not present")
 
