@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..params import EXCLUDED_STATUSES
 from ..sources.tables import Tables
+from .joins import sized_broadcast
 
 PERSON = "customer_unique_id"
 TS = "order_purchase_timestamp"
@@ -130,8 +131,10 @@ def categorised_items(t: Tables) -> DataFrame:
     """order_items ⟕ products ⟕ category_translation → (order_id, category, price, freight).
 
     Products ⟕ translation is a dimension-sized relation; it is joined first so
-    the item-grain join probes one relation. Broadcast is left to AQE, which
-    converts to a broadcast only when the measured size is under the threshold.
+    the item-grain join probes one relation, and it is broadcast only after a
+    row-count check (``sized_broadcast``); above the bound the planner and AQE
+    choose the join. Broadcasting keeps the items' own partitioning (e.g. a
+    bucketed layout on order_id) for the per-order aggregation that follows.
     """
     ct = t.category_translation.select(
         "product_category_name",
@@ -140,4 +143,4 @@ def categorised_items(t: Tables) -> DataFrame:
              .join(ct, "product_category_name", "left")
              .select("product_id", "category"))
     return (t.order_items.select("order_id", "product_id", "price", "freight_value")
-             .join(prod, "product_id", "left"))
+             .join(sized_broadcast(prod), "product_id", "left"))

@@ -1,0 +1,21 @@
+"""Join helpers: broadcast only behind a checked size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DIMENSION_MAX_ROWS = 1_000_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    The check counts at most ``max_rows + 1`` rows (a bounded job on a dimension
+    table). Beyond the bound the join is left to the planner and AQE: a shuffle
+    join, or a runtime broadcast if the measured size turns out small. The
+    broadcast is decided before planning, so the large side is not first
+    shuffled on the dimension key and then joined by broadcast anyway.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -8,6 +8,8 @@ fixture's calendar); everything else runs with the reference's values.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -154,11 +156,23 @@ QUERIES.update({
     "s5_stream_ingest_orders": lambda spark, sf_dir: ingest.stream_round_trip(
         spark, _tables(spark, sf_dir), "orders", sf_dir),
     # top-15 categories (M6/L5) and class weights on the training split
+    "x1_first_order_features_bucketed": lambda spark, sf_dir: _bucketed_features(spark, sf_dir),
     "m6_top_categories": lambda spark, sf_dir: _top_categories(spark, sf_dir),
     "m11_class_weights": lambda spark, sf_dir: _class_weights(spark, sf_dir),
 })
 
 
+def _bucketed_features(spark, sf_dir):
+    """X1 over the bucketed layout (tables written once per session and input)."""
+    from ..sources.layout import write_bucketed
+    k = ("layout", spark.sparkContext.applicationId, sf_dir)
+    if k not in _TABLES:
+        name = "retenta_layout_" + hashlib.sha1(sf_dir.encode()).hexdigest()[:8]
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _TABLES[k] = write_bucketed(spark, _tables(spark, sf_dir), name, parts)
+    return features.first_order_features(_TABLES[k])
+
+
 def _top_categories(spark, sf_dir):
     f = modelling.prep.impute(features.first_order_features(_tables(spark, sf_dir)),
                               {"delivery_days": None})
