@@ -1,0 +1,20 @@
+"""Size-checked broadcast: hint under the bound, planner's choice above it."""
+
+from retenta.operators.joins import sized_broadcast
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sized_broadcast_both_branches(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # no automatic broadcast
+    try:
+        big = spark.range(2000).withColumnRenamed("id", "k")
+        dim = spark.range(50).withColumnRenamed("id", "k")
+        small = big.join(sized_broadcast(dim, max_rows=100), "k")
+        assert "BroadcastHashJoin" in _plan(small) and small.count() == 50
+        large = big.join(sized_broadcast(dim, max_rows=10), "k")
+        assert "BroadcastHashJoin" not in _plan(large) and large.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
