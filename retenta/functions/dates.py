@@ -49,5 +49,5 @@ def weekday_monday0(ts) -> Column:
 
 
 def is_weekend(ts) -> Column:
-    """dayofweek >= 5 as 0/1."""
-    return (weekday_monday0(ts) >= 5).cast("int")
+    """dayofweek >= 5 as 0/1 (F13); 0 without a time."""
+    return F.coalesce(weekday_monday0(ts) >= 5, F.lit(False)).cast("int")

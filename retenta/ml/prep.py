@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import is_weekend, weekday_monday0
 from ..functions.exprs import flag, null_flag, safe_div
 from ..operators.aggregates import value_counts
-from ..operators.order_stats import bucket_count_for, exact_medians, kth_smallest, value_stats
+from ..operators.order_stats import exact_medians, ranked_values
 from ..session import materialize
 from ..params import LOW_REVIEW_MAX, SEED, TEST_FRACTION, TOP_CATEGORIES
 
+# Label, id, categorical and numeric columns of the two feature variants.
 LABEL = "became_repeat_buyer"
 ID_COLUMNS = ["customer_unique_id", "order_id", "order_purchase_timestamp", LABEL]
 CATEGORICAL = ["customer_state", "product_category", "payment_type"]
@@ -28,7 +29,6 @@ NUMERIC = {
                  "payment_installments", "review_score", "avg_item_value",
                  "purchase_month", "purchase_dow"],
 }
-MAX_LEVELS = 10_000  # one-hot level lists are collected; refuse unbounded domains
 
 
 def add_flags(df: DataFrame, variant: str = "improved") -> DataFrame:
@@ -83,30 +83,26 @@ def bucket_top_categories(df: DataFrame, col: str = "product_category",
 
 
 def category_levels(df: DataFrame, cols=CATEGORICAL) -> dict[str, list]:
-    """Sorted distinct levels per categorical column (collected; bounded by MAX_LEVELS)."""
-    cols = list(cols)
-    parts = None
-    for c in cols:
-        p = df.select(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_l"))
-        parts = p if parts is None else parts.unionByName(p)
-    # one job; at most (MAX_LEVELS + 1) levels per column ever reach the driver
-    ranked = parts.distinct().withColumn(
-        "_i", F.row_number().over(Window.partitionBy("_c").orderBy(F.col("_l").asc_nulls_first())))
-    out = {c: [] for c in cols}
-    for r in ranked.filter(F.col("_i") <= MAX_LEVELS + 1).orderBy("_c", "_i").collect():
-        out[r["_c"]].append(r["_l"])
-    for c, lv in out.items():
-        if len(lv) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; one-hot is not sensible")
-    return out
+    """Sorted distinct levels per categorical column; NULL is no level.
+
+    The encoded frame has a column per level, so what is collected is as large
+    as that frame's schema.
+    """
+    pairs = [F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("l")) for c in cols]
+    rows = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").filter("l is not null").distinct()
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in rows.collect():
+        out[r["c"]].append(r["l"])
+    return {c: sorted(levels) for c, levels in out.items()}
 
 
 def one_hot(df: DataFrame, levels: dict[str, list], drop_first: bool = True) -> DataFrame:
-    """M7: get_dummies(drop_first=True): 0/1 column ``{col}_{level}`` per level but the first."""
+    """M7: get_dummies(drop_first=True): 0/1 column ``{col}_{level}`` per level but the first.
+    A NULL value is 0 in all of them."""
     new = {}
     for c, lv in levels.items():
         for level in (lv[1:] if drop_first else lv):
-            new[f"{c}_{level}"] = (F.col(c) == F.lit(level)).cast("int")
+            new[f"{c}_{level}"] = F.coalesce(F.col(c) == F.lit(level), F.lit(False)).cast("int")
     return df.withColumns(new).drop(*levels.keys())
 
 
@@ -130,44 +126,57 @@ def hash_key(col: str, seed: int = SEED) -> F.Column:
     return F.xxhash64(F.col(col), F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
+def share_of_test(counts: dict, test_fraction: float = TEST_FRACTION) -> dict:
+    """Test rows per class: in all ceil(f * n); the n - ceil(f * n) training rows are shared out
+    over the classes in proportion, the rest by largest remainder (ties: smaller class first)."""
+    n = sum(counts.values())
+    frac = Fraction(test_fraction).limit_denominator(10**6)
+    train = n - -(-n * frac.numerator // frac.denominator)
+    exact = {c: Fraction(nc * train, n) for c, nc in counts.items()}
+    share = {c: int(x) for c, x in exact.items()}
+    for c in sorted(counts, key=lambda c: (share[c] - exact[c], c))[:train - sum(share.values())]:
+        share[c] += 1
+    return {c: nc - share[c] for c, nc in counts.items()}
+
+
 def stratified_split(df: DataFrame, label: str = LABEL, id_col: str = "customer_unique_id",
                      test_fraction: float = TEST_FRACTION, seed: int = SEED,
                      key: F.Column | None = None) -> DataFrame:
-    """M9: add ``is_test``: per class, the ceil(f * n_c) rows with the smallest (key, id).
+    """M9: add ``is_test``: per class the rows with the smallest (key, id), as many as ``share_of_test``.
 
-    The cut per class is an exact k-th statistic of the key (histogram
-    refinement, no per-class window over all rows). Rows tied with the cut on
-    the key are taken in id order, so the test share per class is exact.
+    The cut per class is an exact k-th statistic of the key over (label, key, id) alone;
+    the frame itself only gets a filter expression. Rows tied with the cut on the key go in
+    id order, by a second cut on the id. Rows of equal id and key fall on one side;
+    rows without a key are training rows. The classes
+    of a label are few (their counts reach the driver).
     """
     key = key if key is not None else hash_key(id_col, seed)
-    k = materialize(df.withColumn("_key", key.cast("double")))
-    stats = value_stats(k, ["_key"], label)  # per class: n, min and max key in one pass
-    counts = {int(g): n for (_, g), (n, _, _) in stats.items()}
-    frac = Fraction(test_fraction).limit_denominator(10**6)
-    need = {c: -(-n * frac.numerator // frac.denominator) for c, n in counts.items()}
-    n_max = max(counts.values()) if counts else 0
-    ks = {c: [q - 1] for c, q in need.items() if q > 0}
-    cut = kth_smallest(k, "_key", ks, group=label, buckets=bucket_count_for(n_max), stats=stats)
-    cuts = {c: cut[(c, q - 1)] for c, q in need.items() if q > 0}
-    # one job: per class, rows strictly below the cut and rows tied with it
-    aggs = []
-    for i, (c, v) in enumerate(cuts.items()):
-        in_c = F.col(label) == F.lit(c)
-        aggs += [F.count_if(in_c & (F.col("_key") < v)).alias(f"b{i}"),
-                 F.count_if(in_c & (F.col("_key") == v)).alias(f"t{i}")]
-    counts_row = k.agg(*aggs).first() if aggs else None
+    k = df.select(F.col(label).alias("_g"), key.alias("_key"), F.col(id_col).alias("_id"))
+    ranked = ranked_values(k, "_key", ("_g",))
+    counts = {r["_g"]: r["n"] for r in k.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    need = {c: n for c, n in share_of_test(counts, test_fraction).items() if n > 0}
+
+    def last(of, wanted):
+        """Per class the row of ``of`` that holds the last of ``wanted`` rows."""
+        hit = F.lit(False)
+        for c, n in wanted.items():
+            hit = hit | (F.col("_g").eqNullSafe(F.lit(c)) & (F.col("below") < n) & (F.col("below") + F.col("n") >= n))
+        return {r["_g"]: r for r in of.filter(hit).collect()}
+
+    cuts = last(ranked, need)
+    # the usual case is a unique cut key; else only the rows tied with it are ranked by id
+    tied = {c: need[c] - r["below"] for c, r in cuts.items() if r["below"] + r["n"] > need[c]}
+    at_cut = F.lit(False)
+    for c in tied:
+        at_cut = at_cut | (F.col("_g").eqNullSafe(F.lit(c)) & (F.col("_key") == cuts[c]["_key"]))
+    ids = last(ranked_values(k.filter(at_cut), "_id", ("_g",)), tied) if tied else {}
     cond = F.lit(False)
-    for i, (c, v) in enumerate(cuts.items()):
-        in_class = F.col(label) == F.lit(c)
-        take = need[c] - counts_row[f"b{i}"]
-        if counts_row[f"t{i}"] <= take:  # the usual case: the cut key is unique
-            cond = cond | (in_class & (F.col("_key") <= v))
-            continue
-        # several rows share the cut key: take them in id order (at most the tie count)
-        ties = (k.filter(in_class & (F.col("_key") == v)).orderBy(id_col).limit(take).select(id_col))
-        tie_ids = [r[0] for r in ties.collect()]
-        cond = cond | (in_class & ((F.col("_key") < v) | F.col(id_col).isin(tie_ids)))
-    return k.withColumn("is_test", cond).drop("_key")
+    for c, r in cuts.items():
+        upto = key <= F.lit(r["_key"])
+        if c in tied:
+            upto = (key < F.lit(r["_key"])) | ((key == F.lit(r["_key"])) & (F.col(id_col) <= F.lit(ids[c]["_id"])))
+        cond = cond | (F.col(label).eqNullSafe(F.lit(c)) & upto)
+    return df.withColumn("is_test", F.coalesce(cond, F.lit(False)))
 
 
 def standardize(df: DataFrame, cols: list[str], fit_on: DataFrame) -> DataFrame:
@@ -210,7 +219,7 @@ def prepare(features: DataFrame, variant: str = "improved") -> tuple[DataFrame,
     """
     f = materialize(add_flags(features, variant))
     med = imputation_values(f, variant)
-    f = bucket_top_categories(drop_incomplete(impute(f, med)))
+    f = materialize(bucket_top_categories(drop_incomplete(impute(f, med))))
     levels = category_levels(f)
     return one_hot(f, levels), {"medians": med, "levels": levels}
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..params import EXCLUDED_STATUSES
 from ..sources.tables import Tables
-from .joins import sized_broadcast
 
 PERSON = "customer_unique_id"
 TS = "order_purchase_timestamp"
@@ -117,11 +116,11 @@ def rank_orders_within_person(po: DataFrame, method: str = "ranges",
     counts = r.groupBy("_range", PERSON).agg(F.count(F.lit(1)).alias("_n"))
     wp = Window.partitionBy(PERSON)
     offs = counts.select(
-        "_range", PERSON,
+        F.col("_range").alias("_r"), F.col(PERSON).alias("_p"),
         F.coalesce(F.sum("_n").over(wp.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
         F.sum("_n").over(wp).alias("total_orders"))
-    return (local.join(offs, ["_range", PERSON])
+    return (local.join(offs, (F.col("_range") == F.col("_r")) & F.col(PERSON).eqNullSafe(F.col("_p")))
                  .select(PERSON, "order_id", TS,
                          (F.col("_local") + F.col("_off")).cast("int").alias("order_rank"),
                          "total_orders"))
@@ -130,17 +129,17 @@ def rank_orders_within_person(po: DataFrame, method: str = "ranges",
 def categorised_items(t: Tables) -> DataFrame:
     """order_items ⟕ products ⟕ category_translation → (order_id, category, price, freight).
 
-    Products ⟕ translation is a dimension-sized relation; it is joined first so
-    the item-grain join probes one relation, and it is broadcast only after a
-    row-count check (``sized_broadcast``); above the bound the planner and AQE
-    choose the join. Broadcasting keeps the items' own partitioning (e.g. a
-    bucketed layout on order_id) for the per-order aggregation that follows.
+    Products ⟕ translation is joined first so the item-grain join probes one
+    relation. The planner and AQE choose the joins from measured sizes; a
+    broadcast keeps the items' own partitioning for what follows.
+    ``known_product`` tells items whose product exists.
     """
     ct = t.category_translation.select(
         "product_category_name",
         F.col("product_category_name_english").alias("category"))
     prod = (t.products.select("product_id", "product_category_name")
              .join(ct, "product_category_name", "left")
-             .select("product_id", "category"))
+             .select("product_id", "category", F.lit(True).alias("_known")))
     return (t.order_items.select("order_id", "product_id", "price", "freight_value")
-             .join(sized_broadcast(prod), "product_id", "left"))
+             .join(prod, "product_id", "left")
+             .withColumn("known_product", F.col("_known").isNotNull()).drop("_known"))

@@ -12,6 +12,9 @@ from .base import PERSON, TS
 def cohort_activity(po: DataFrame) -> DataFrame:
     """(cohort_month, month_number, active_customers, cohort_size) from person orders.
 
+    Orders without a purchase time count in a (cohort, NULL) row; a person with
+    no dated order has no cohort and drops out, as do orders that name no person.
+
     1. Reduce orders to distinct (person, order month). The distinct runs as a
        partial aggregate map-side, so a person with a huge number of orders
        shrinks to at most one row per month per map task before the shuffle.
@@ -25,10 +28,9 @@ def cohort_activity(po: DataFrame) -> DataFrame:
        spread over the small aggregated table with a window, no second pass
        over orders.
     """
-    pm = (po.select(PERSON, month_start(TS).alias("order_month"))
-            .filter(F.col("order_month").isNotNull())
-            .distinct())
+    pm = po.select(PERSON, month_start(TS).alias("order_month")).distinct()
     pm = pm.withColumn("cohort_month", F.min("order_month").over(Window.partitionBy(PERSON)))
+    pm = pm.filter(F.col("cohort_month").isNotNull() & F.col(PERSON).isNotNull())
     act = (pm.select("cohort_month", months_apart("order_month", "cohort_month").alias("month_number"))
              .groupBy("cohort_month", "month_number")
              .agg(F.count(F.lit(1)).alias("active_customers")))

@@ -56,10 +56,9 @@ def first_order_category(t: Tables, method: str = "aggregate") -> DataFrame:
     category is NULL when every item of that order lacks a translated category.
     """
     fo = base.first_order_per_person(base.person_orders(t), method=method)
-    items = base.categorised_items(t).select("order_id", "category")
-    return (fo.join(items, "order_id")
-              .groupBy(PERSON, "total_orders")
-              .agg(mode_smallest("category").alias("category")))
+    modes = (base.categorised_items(t).groupBy("order_id")
+             .agg(mode_smallest("category").alias("category")))
+    return fo.join(modes, "order_id").select(PERSON, "total_orders", "category")
 
 
 def repeat_rate_by_category(t: Tables, min_customers: int = D3_MIN_CUSTOMERS,
@@ -93,7 +92,7 @@ def monthly_trend(t: Tables) -> DataFrame:
     return (j.groupBy(year_month_text(base.TS).alias("month"))
              .agg(F.count_distinct("order_id").alias("orders"),
                   money(F.sum("order_value")).alias("revenue"))
-             .orderBy("month"))
+             .orderBy(F.col("month").asc_nulls_last()))
 
 
 def delivery_bucket(delivered, estimated, days: int = D6_JUST_ON_TIME_DAYS):

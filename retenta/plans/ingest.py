@@ -50,9 +50,7 @@ def stream_round_trip(spark: SparkSession, t: Tables, table: str, tag: str) -> D
     from ..streaming.ingest import ingest
     key = hashlib.sha1(tag.encode()).hexdigest()[:12]
     base_dir = scratch_path(spark, f"stream_round_trip/{table}-{key}")
-    import uuid
-    run = uuid.uuid4().hex[:8]
-    src, out, cp = f"{base_dir}/src-{run}", f"{base_dir}/out-{run}", f"{base_dir}/cp-{run}"
+    src, out, cp = f"{base_dir}/src", f"{base_dir}/out", f"{base_dir}/cp"
     sinks.write_csv(conform(getattr(t, table), table), src)
     ingest(spark, src, table, out, checkpoint=cp)
     return spark.read.schema(schemas.SCHEMAS[table]).parquet(out)

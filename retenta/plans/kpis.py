@@ -83,9 +83,8 @@ def category_dissatisfaction(t: Tables, min_orders: int = Q4_MIN_ORDERS,
     (order, category) counts, reviews to per-order sums, and the weights are
     multiplied after a single order_id join.
     """
-    items = base.categorised_items(t)
     # inner join to products in Q4 (not left): items whose product is unknown drop out
-    items = items.join(t.products.select("product_id"), "product_id")
+    items = base.categorised_items(t).filter("known_product")
     oc = items.groupBy("order_id", "category").agg(F.count(F.lit(1)).alias("n_items"))
     valid = base.valid_orders(t.orders).select("order_id")
     rv = t.order_reviews.groupBy("order_id").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,14 @@ def model_frame(t: Tables, variant: str = "improved") -> DataFrame:
 
 
 def model_frame_long(t: Tables, variant: str = "improved") -> DataFrame:
-    """X3 in long form (customer_unique_id, feature, value): column-set independent, SQL-checkable."""
+    """X3 in long form (customer_unique_id, feature, value): column-set independent, SQL-checkable.
+    Zeros are left out, as in a sparse vector."""
     enc = model_frame(t, variant)
     feats = prep.feature_columns(enc)
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in feats)
-    return enc.selectExpr("customer_unique_id",
-                          f"stack({len(feats)}, {pairs}) AS (feature, value)")
+    pairs = [F.struct(F.lit(c).alias("feature"), F.col("`" + c.replace("`", "``") + "`").cast("double").alias("value"))
+             for c in feats]
+    long = enc.select("customer_unique_id", F.inline(F.array(*pairs)))
+    return long.filter("value <> 0 or value is null")
 
 
 def split_assignment(t: Tables, key: str = "lehmer") -> DataFrame:
@@ -34,15 +38,23 @@ def split_assignment(t: Tables, key: str = "lehmer") -> DataFrame:
                     F.col("is_test").cast("int").alias("is_test"))
 
 
-def standardized_frame(t: Tables, variant: str = "improved") -> DataFrame:
+def standardized_frame(t: Tables, variant: str = "improved", key=None) -> DataFrame:
     """The model frame with numeric columns scaled by train-split mean and population std
     (fitted on train only, applied to both splits); ``is_test`` marks the split."""
     enc = model_frame(t, variant)
-    s = prep.stratified_split(enc)
+    s = prep.stratified_split(enc, key=key)
     train = s.filter(~F.col("is_test"))
     return prep.standardize(s, prep.NUMERIC[variant], fit_on=train)
 
 
+def standardized_long(t: Tables, variant: str = "improved", digits: int = 6) -> DataFrame:
+    """M10 in long form (customer_unique_id, is_test, feature, value), split by the integer key,
+    rounded so that two engines' sums of doubles agree."""
+    s = standardized_frame(t, variant, key=prep.lehmer_key("customer_unique_id"))
+    cells = [F.struct(F.lit(c).alias("feature"), F.round(F.col(c), digits).alias("value")) for c in prep.NUMERIC[variant]]
+    return s.select("customer_unique_id", F.col("is_test").cast("int").alias("is_test"), F.inline(F.array(*cells)))
+
+
 def heuristic_scored(t: Tables) -> DataFrame:
     """A deterministic score on the whole feature table for exercising the metric operators:
     score = first-order value, prediction = 1 when the first order has at least 4 items."""
@@ -53,21 +65,22 @@ def heuristic_scored(t: Tables) -> DataFrame:
         (F.col("num_items") >= 4).cast("int").alias("prediction"))
 
 
-# Prepared splits and fitted models per table bundle: several reports read the same
-# fitted model (T3 and X4 share the boosted trees, T2 and T6 the forest).
-_CACHE: dict = {}
+# Prepared splits and fitted models, kept with the table bundle that they were built from: several
+# reports read the same fitted model (T3 and X4 share the boosted trees, T2 and T6 the forest).
+_CACHE: "weakref.WeakKeyDictionary[Tables, dict]" = weakref.WeakKeyDictionary()
 
 
 def _cached(t: Tables, key, build):
-    k = (id(t), key)
-    if k not in _CACHE:
-        _CACHE[k] = build()
-    return _CACHE[k]
+    held = _CACHE.setdefault(t, {})
+    if key not in held:
+        held[key] = build()
+    return held[key]
 
 
 def _prepared(t: Tables, variant: str) -> models.Prepared:
     return _cached(t, ("prepared", variant),
-                   lambda: models.prepare_splits(first_order_features(t), variant))
+                   lambda: models.prepare_splits(first_order_features(t), variant,
+                                                 key=prep.lehmer_key("customer_unique_id")))
 
 
 def _fit(t: Tables, kind: str, variant: str, **kw):
@@ -117,3 +130,19 @@ def evaluation_report(t: Tables, gbt_iter: int = 400) -> dict[str, DataFrame]:
         "confusion_matrix": metrics.confusion_matrix(scored),
         "classification_report": metrics.classification_report(scored),
     }
+
+
+def baseline_report(t: Tables) -> dict[str, DataFrame]:
+    """X4 for the baseline features: logistic regression and random forest on the baseline
+    frame, each with metrics, confusion matrix and per-class report, and the forest's importances."""
+    p = _prepared(t, "baseline")
+    _, lr_scored = _fit(t, "logistic", "baseline")
+    forest, rf_scored = _fit(t, "forest", "baseline")
+    scored = {"logistic_regression": lr_scored, "random_forest": rf_scored}
+    evaluated = [models.evaluate(s, name) for name, s in scored.items()]
+    out = {"metrics": evaluated[0].unionByName(evaluated[1]),
+           "importances": models.importances(t.orders.sparkSession, forest, p.feature_cols)}
+    for name, s in scored.items():
+        out[f"confusion_matrix_{name}"] = metrics.confusion_matrix(s)
+        out[f"classification_report_{name}"] = metrics.classification_report(s)
+    return out

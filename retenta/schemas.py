@@ -78,5 +78,8 @@ FOREIGN_KEYS = [
 NOT_NULL = {"customers": ["customer_unique_id"]}
 
 # FK-safe load order (parents first).
+# Tables with text columns that may hold line breaks.
+FREE_TEXT = {"order_reviews"}
+
 LOAD_ORDER = ["category_translation", "customers", "sellers", "products", "orders",
               "order_items", "order_payments", "order_reviews"]

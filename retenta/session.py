@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,37 +41,36 @@ def build_session(master: str | None = None, app: str = "retenta",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    The cluster names it; we only set one when it is unset (local tests).
+    Where the setting is absent, ``fallback`` or a temporary folder is set, but
+    only with a local master: on a cluster executors would write to their own
+    disks, so there its absence is an error.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
-        or sc.getConf().get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = fallback or os.environ.get("RETENTA_CHECKPOINT_DIR") or "/tmp/retenta-checkpoints"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+        if not fallback and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = fallback or tempfile.mkdtemp(prefix="retenta-")
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/retenta/{name}"
+    """A new path under the shared folder; the file system removes it when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/retenta/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing ``df`` to the shared checkpoint folder (reliable checkpoint).
-
-    Used where one intermediate is read by several jobs (medians, level lists,
-    quantile bounds, split cuts): it is computed once, and a lost executor
-    re-reads the written files instead of recomputing the whole join lineage.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as Parquet in the shared folder and read back: lineage is cut, lost
+    executors re-read the files, and later passes read only the columns they need."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

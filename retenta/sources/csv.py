@@ -12,13 +12,16 @@ def read_csv(spark: SparkSession, path: str, table: str, fail_fast: bool = True)
     """Header CSV with '"' quoting (doubled quotes escape a quote, fields may hold
     newlines), columns bound by position to the declared schema, first bad row fails the load.
 
-    Note: an empty quoted field ("") reads as NULL, unlike a database COPY, which keeps ''.
+    As a database COPY has it, an empty quoted field ("") is an empty text and an empty
+    unquoted one is NULL. Only tables with free text are read in multi-line mode; files of
+    all others can be split.
     """
     return (spark.read.schema(schemas.SCHEMAS[table])
             .option("header", True)
             .option("quote", '"')
             .option("escape", '"')
-            .option("multiLine", True)
+            .option("multiLine", table in schemas.FREE_TEXT)
+            .option("nullValue", "\u0001")
             .option("mode", "FAILFAST" if fail_fast else "PERMISSIVE")
             .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
             .csv(path))

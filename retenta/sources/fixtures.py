@@ -41,12 +41,13 @@ def _status(c):
 
 def map_orders(o: DataFrame) -> DataFrame:
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
-    purchase = day + F.make_dt_interval(secs=(key % 86400).cast("decimal(18,6)"))
+    # one order in 211 has no purchase time, one in 101 is unavailable
+    purchase = F.when(key % 211 != 0, day + F.make_dt_interval(secs=(key % 86400).cast("decimal(18,6)")))
     delivered = F.when(key % 37 != 0, day + F.make_dt_interval(days=((key * 7) % 45).cast("int")))
     return o.select(
         key.alias("order_id"),
         key.alias("customer_id"),
-        _status(F.col("o_orderstatus")).alias("order_status"),
+        F.when(key % 101 == 0, "unavailable").otherwise(_status(F.col("o_orderstatus"))).alias("order_status"),
         purchase.alias("order_purchase_timestamp"),
         purchase.alias("order_approved_at"),
         F.lit(None).cast("timestamp_ntz").alias("order_delivered_carrier_date"),
@@ -56,14 +57,16 @@ def map_orders(o: DataFrame) -> DataFrame:
 
 
 def map_customers(o: DataFrame, c: DataFrame, n: DataFrame) -> DataFrame:
-    person = F.col("o_custkey") * 10 + F.substring("o_orderpriority", 1, 1).cast("long")
+    # one order in 307 names no person, one customer in 43 no state
+    person = F.when(F.col("o_orderkey") % 307 != 0,
+                    F.col("o_custkey") * 10 + F.substring("o_orderpriority", 1, 1).cast("long"))
     return (o.join(c, o.o_custkey == c.c_custkey)
              .join(n, c.c_nationkey == n.n_nationkey)
              .select(F.col("o_orderkey").alias("customer_id"),
                      person.alias("customer_unique_id"),
                      F.lit(None).cast("string").alias("customer_zip_code_prefix"),
                      F.col("c_name").alias("customer_city"),
-                     F.col("n_name").alias("customer_state")))
+                     F.when(F.col("c_custkey") % 43 != 0, F.col("n_name")).alias("customer_state")))
 
 
 def map_sellers(s: DataFrame, n: DataFrame) -> DataFrame:
@@ -125,7 +128,7 @@ def map_order_payments(li: DataFrame) -> DataFrame:
 
 
 def map_order_reviews(li: DataFrame) -> DataFrame:
-    return li.filter(F.col("l_linenumber") == 1).select(
+    return li.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"))
          .alias("review_id"),
         F.col("l_orderkey").alias("order_id"),
@@ -158,9 +161,11 @@ def load_fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
 FIXTURE_SQL = """
 m_orders AS (
   SELECT o_orderkey AS order_id, o_orderkey AS customer_id,
-         CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped'
-                            WHEN 'P' THEN 'canceled' END AS order_status,
-         o_orderdate + to_seconds(o_orderkey % 86400) AS order_purchase_timestamp,
+         CASE WHEN o_orderkey % 101 = 0 THEN 'unavailable' ELSE
+           CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped'
+                              WHEN 'P' THEN 'canceled' END END AS order_status,
+         CASE WHEN o_orderkey % 211 <> 0
+              THEN o_orderdate + to_seconds(o_orderkey % 86400) END AS order_purchase_timestamp,
          CASE WHEN o_orderkey % 37 <> 0
               THEN o_orderdate + to_days(CAST((o_orderkey * 7) % 45 AS INTEGER)) END
            AS order_delivered_customer_date,
@@ -168,8 +173,10 @@ m_orders AS (
   FROM orders),
 m_customers AS (
   SELECT o.o_orderkey AS customer_id,
-         o.o_custkey * 10 + CAST(substr(o.o_orderpriority, 1, 1) AS BIGINT) AS customer_unique_id,
-         n.n_name AS customer_state
+         CASE WHEN o.o_orderkey % 307 <> 0 THEN
+           o.o_custkey * 10 + CAST(substr(o.o_orderpriority, 1, 1) AS BIGINT) END AS customer_unique_id,
+         c.c_name AS customer_city,
+         CASE WHEN c.c_custkey % 43 <> 0 THEN n.n_name END AS customer_state
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
                 JOIN nation n ON c.c_nationkey = n.n_nationkey),
 m_sellers AS (
@@ -197,5 +204,5 @@ m_order_payments AS (
   FROM lineitem),
 m_order_reviews AS (
   SELECT l_orderkey AS order_id, CAST(trunc(l_quantity) AS INTEGER) % 5 + 1 AS review_score
-  FROM lineitem WHERE l_linenumber = 1)
+  FROM lineitem)
 """

@@ -6,9 +6,19 @@ reader for deployments that keep the source tables in a database.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+def as_relation(query_or_table: str) -> str:
+    """A table name as it is; a SELECT or WITH statement (after comments, with or without a
+    final semicolon) as a derived table."""
+    text = query_or_table.strip().rstrip(";").rstrip()
+    words = re.sub(r"^(\s*(--[^\n]*(\n|$)|/\*.*?\*/))*", "", text, flags=re.S).lstrip().lower()
+    return f"({text}\n) q" if re.match(r"(select|with)\b", words) else text
+
+
 def read_jdbc(spark: SparkSession, url: str, query_or_table: str, properties: dict,
               partition_column: str | None = None, lower: int | None = None,
               upper: int | None = None, num_partitions: int = 64) -> DataFrame:
@@ -17,10 +27,7 @@ def read_jdbc(spark: SparkSession, url: str, query_or_table: str, properties: di
     r = spark.read.format("jdbc").option("url", url)
     for k, v in properties.items():
         r = r.option(k, v)
-    if query_or_table.lstrip().lower().startswith("select"):
-        r = r.option("dbtable", f"({query_or_table}) q")
-    else:
-        r = r.option("dbtable", query_or_table)
+    r = r.option("dbtable", as_relation(query_or_table))
     if partition_column:
         r = (r.option("partitionColumn", partition_column).option("lowerBound", lower)
               .option("upperBound", upper).option("numPartitions", num_partitions))

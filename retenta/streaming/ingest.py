@@ -20,7 +20,8 @@ def csv_stream(spark: SparkSession, src_dir: str, table: str,
                max_files_per_trigger: int | None = None) -> DataFrame:
     r = (spark.readStream.schema(schemas.SCHEMAS[table])
          .option("header", True).option("quote", '"').option("escape", '"')
-         .option("multiLine", True).option("mode", "FAILFAST")
+         .option("multiLine", table in schemas.FREE_TEXT).option("nullValue", "\u0001")
+         .option("mode", "FAILFAST")
          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -23,9 +23,10 @@ def test_split_is_exact_per_class(frame):
     s = prep.stratified_split(frame, key=prep.lehmer_key("customer_unique_id"))
     c = {(r["became_repeat_buyer"], r["is_test"]): r["n"] for r in
          s.groupBy("became_repeat_buyer", "is_test").agg(F.count("*").alias("n")).collect()}
+    want = prep.share_of_test(prep.class_counts(frame))
     for y in (0, 1):
-        n = c.get((y, True), 0) + c.get((y, False), 0)
-        assert c[(y, True)] == -(-n // 5)
+        assert c[(y, True)] == want[y]
+    assert sum(want.values()) == 120
 
 
 def test_logistic_learns_planted_signal(frame):
