@@ -55,7 +55,7 @@ QUERIES = {f.__name__: f for f in (
 
 _UNITS = ", ".join(f"'{u}'" for u in decontam.UNITS)
 _TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{N}.!?]*')"
-_TEMPLATE = f"""list_transform(words, (w, i) -> CASE
+_TEMPLATE = f"""list_transform(words, lambda w, i: CASE
   WHEN rtrim(w, '.!?') >= '0' AND rtrim(w, '.!?') < ':' THEN '#'
   WHEN lower(rtrim(w, '.!?')) IN ({_UNITS}) AND i > 1 AND words[i - 1] >= '0' AND words[i - 1] < ':' THEN '%'
   WHEN rtrim(w, '.!?') <> lower(rtrim(w, '.!?')) AND rtrim(w, '.!?') <> upper(rtrim(w, '.!?')) AND i > 1
@@ -65,25 +65,25 @@ _TEMPLATE = f"""list_transform(words, (w, i) -> CASE
 ORACLES = {
     "op1_exact_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op2_decontaminate": f"""
 WITH item AS (SELECT text, min(item_id) AS item_id FROM benchmark WHERE text IS NOT NULL GROUP BY text),
 iw AS (SELECT text, item_id, {_TOKENS} AS words FROM item),
-it AS (SELECT text, item_id, list_transform(words, w -> rtrim(w, '.!?')) AS plain, {_TEMPLATE} AS t FROM iw),
+it AS (SELECT text, item_id, list_transform(words, lambda w: rtrim(w, '.!?')) AS plain, {_TEMPLATE} AS t FROM iw),
 ip AS (SELECT *, unnest(range(1, len(t) - 3)) AS ipos FROM it),
 iq AS (SELECT text, item_id, ipos, array_to_string(t[ipos:ipos + 4], ' ') AS h, plain[ipos:ipos + 4] AS iv,
-              list_transform(t[ipos:ipos + 4], x -> x NOT IN ('#', '@', '%')) AS literal FROM ip),
-items AS (SELECT *, count(*) OVER (PARTITION BY text) AS total FROM iq WHERE len(list_filter(literal, x -> x)) >= 3),
+              list_transform(t[ipos:ipos + 4], lambda x: x NOT IN ('#', '@', '%')) AS literal FROM ip),
+items AS (SELECT *, count(*) OVER (PARTITION BY text) AS total FROM iq WHERE len(list_filter(literal, lambda x: x)) >= 3),
 dw AS (SELECT doc_id, {_TOKENS} AS words FROM documents WHERE text IS NOT NULL),
-dt AS (SELECT doc_id, list_transform(words, w -> rtrim(w, '.!?')) AS plain, {_TEMPLATE} AS t FROM dw),
+dt AS (SELECT doc_id, list_transform(words, lambda w: rtrim(w, '.!?')) AS plain, {_TEMPLATE} AS t FROM dw),
 dp AS (SELECT *, unnest(range(1, len(t) - 3)) AS pos FROM dt),
 dq AS (SELECT doc_id, pos, array_to_string(t[pos:pos + 4], ' ') AS h, plain[pos:pos + 4] AS v FROM dp),
 hit AS (SELECT doc_id, text, item_id, total, ipos, pos - ipos AS diagonal, iv, v, literal FROM dq JOIN items USING (h)),
@@ -103,12 +103,12 @@ w AS (SELECT row_number() OVER (ORDER BY source NULLS FIRST) AS s, source, n,
              CAST(greatest(1, floor(sqrt(n) / sum(sqrt(n)) OVER () * {mixing.PERIOD} + 0.5)) AS BIGINT) AS a FROM n),
 src AS (SELECT list(a ORDER BY s) AS a, list(n ORDER BY s) AS n, CAST(sum(a) AS BIGINT) AS q FROM w),
 edf(t, had, pick) AS (
-  SELECT CAST(-1 AS BIGINT), list_transform((SELECT a FROM src), x -> CAST(0 AS BIGINT)), CAST(0 AS BIGINT)
+  SELECT CAST(-1 AS BIGINT), list_transform((SELECT a FROM src), lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT)
   UNION ALL
-  SELECT t + 1, list_transform(had, (c, i) -> c + CASE WHEN i = pick THEN 1 ELSE 0 END),
+  SELECT t + 1, list_transform(had, lambda c, i: c + CASE WHEN i = pick THEN 1 ELSE 0 END),
          list_min(list_transform(list_filter(range(1, len(a) + 1),
-             i -> (had[i] + CASE WHEN i = pick THEN 1 ELSE 0 END) * q // a[i] <= t + 1),
-           i -> ((had[i] + CASE WHEN i = pick THEN 1 ELSE 0 END + 1) * q + a[i] - 1) // a[i] * 100000 + i)) % 100000
+             lambda i: (had[i] + CASE WHEN i = pick THEN 1 ELSE 0 END) * q // a[i] <= t + 1),
+           lambda i: ((had[i] + CASE WHEN i = pick THEN 1 ELSE 0 END + 1) * q + a[i] - 1) // a[i] * 100000 + i)) % 100000
   FROM edf, src WHERE t + 1 < q),
 period AS (SELECT t AS r, pick AS s, had[pick] AS k, had FROM edf WHERE t >= 0),
 ranked AS (SELECT d.doc_id, d.source, w.s, w.a, row_number() OVER (PARTITION BY w.s ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id) - 1 AS nth
@@ -117,7 +117,7 @@ blocks AS (SELECT *, nth // {mixing.BLOCK_ROWS} AS block FROM ranked)
 SELECT b.doc_id, b.source, CAST(b.block AS BIGINT) AS block, CAST(b.block // b.a * q + p.r AS BIGINT) AS slot,
        CAST(b.block * q // b.a AS BIGINT) AS release, CAST(((b.block + 1) * q + b.a - 1) // b.a AS BIGINT) AS deadline,
        CAST(list_sum(list_transform(range(1, len(src.a) + 1),
-            i -> least(src.n[i], (b.block // b.a * src.a[i] + p.had[i]) * {mixing.BLOCK_ROWS})))
+            lambda i: least(src.n[i], (b.block // b.a * src.a[i] + p.had[i]) * {mixing.BLOCK_ROWS})))
             + b.nth % {mixing.BLOCK_ROWS} AS BIGINT) AS position
 FROM blocks b JOIN period p ON b.s = p.s AND b.block % b.a = p.k, src""",
     "op10_warc": f"""
