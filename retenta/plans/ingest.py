@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from .. import schemas
 from ..operators import quality
 from ..session import scratch_path
 from ..sources import csv, sinks
-from ..sources.tables import Tables
+from ..sources.tables import Tables, from_parquet_dir
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -29,6 +30,20 @@ def csv_round_trip(spark: SparkSession, t: Tables, table: str, tag: str) -> Data
     return csv.read_csv(spark, path, table)
 
 
+def load_round_trip(spark: SparkSession, t: Tables) -> DataFrame:
+    """S1-S5, S11 over all eight tables: publish as CSV, load through the declared schemas, replace
+    an earlier load, re-read the typed Parquet. One row per table: table_name, n_rows, n_columns."""
+    src, out = scratch_path(spark, "load-csv"), scratch_path(spark, "load-parquet")
+    for name, df in t.as_dict().items():
+        sinks.write_csv(conform(df, name), f"{src}/{name}")
+    loaded = csv.read_csv_dir(spark, {name: f"{src}/{name}" for name in schemas.SCHEMAS})
+    for _ in range(2):                       # the second load replaces the first
+        csv.load_tables(loaded, out)
+    parts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
+             for name, df in from_parquet_dir(spark, out).as_dict().items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def duplicate_item_keys(t: Tables) -> DataFrame:
     """S6 on order_items (order_id, order_item_id)."""
     return quality.duplicate_keys(t.order_items, schemas.PRIMARY_KEYS["order_items"])

@@ -53,6 +53,17 @@ def publish_dashboards(t: Tables, out_dir: str, params: dict | None = None,
     return written
 
 
+def publish_reports(t: Tables, out_dir: str) -> list[str]:
+    """Write the tables of both model reports (X4), baseline and improved, as one header CSV each."""
+    st = share_base(t)
+    written = []
+    for variant, report in (("baseline", modelling.baseline_report(st)), ("improved", modelling.evaluation_report(st))):
+        for name, df in report.items():
+            sinks.write_csv(df, f"{out_dir.rstrip('/')}/{variant}_{name}", single_file=True)
+            written.append(f"{variant}_{name}")
+    return written
+
+
 def publish_features(t: Tables, out_dir: str) -> None:
     """Write the first-order feature table (X1) as Parquet (many files, one per task)."""
     sinks.write_parquet(features.first_order_features(share_base(t)), out_dir)

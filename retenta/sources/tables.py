@@ -27,14 +27,9 @@ class Tables:
         return {f.name: getattr(self, f.name) for f in fields(self)
                 if f.name != "shared_person_orders"}
 
-    def register_views(self, prefix: str = "") -> None:
-        """Expose every table to spark.sql under its reference name."""
-        for name, df in self.as_dict().items():
-            df.createOrReplaceTempView(prefix + name)
-
 
 def from_parquet_dir(spark: SparkSession, path: str) -> Tables:
-    """Tables written by ``sinks.write_tables`` (typed Parquet hand-off, S11)."""
+    """Tables written by ``csv.load_tables`` (typed Parquet hand-off, S11)."""
     return Tables(**{n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in schemas.SCHEMAS})
 
 

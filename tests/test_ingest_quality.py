@@ -55,3 +55,25 @@ def test_stream_ingest_exactly_once(spark, tmp_path):
     ingest(spark, str(src), "order_payments", str(out), checkpoint=str(cp))  # only the new file
     got = sorted(r["order_id"] for r in spark.read.parquet(str(out)).collect())
     assert got == ["o1", "o2", "o3"]
+
+
+def test_empty_quoted_text_stays_and_line_breaks_are_read(spark, tmp_path):
+    from retenta.sources import csv
+    head = "review_id,order_id,review_score,review_comment_title,review_comment_message,review_creation_date,review_answer_timestamp\n"
+    (tmp_path / "r.csv").write_text(head + 'r1,o1,5,"",,2018-01-01 00:00:00,2018-01-02 00:00:00\n'
+                                    'r2,o2,,t,"two\nlines",2018-01-01 00:00:00,2018-01-02 00:00:00\n')
+    got = [tuple(r)[:5] for r in csv.read_csv(spark, str(tmp_path / "r.csv"), "order_reviews").orderBy("review_id").collect()]
+    assert got == [("r1", "o1", 5, "", None), ("r2", "o2", None, "t", "two\nlines")]
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    import pytest
+    from retenta import session
+    class Conf:
+        def get(self, key, default=None):
+            return default
+    class Fake:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "yarn"})()
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Fake())

@@ -21,3 +21,19 @@ def test_publish_writes_one_csv_per_dashboard(spark, tmp_path):
     for n in names:
         parts = [f for f in os.listdir(tmp_path / n) if f.endswith(".csv")]
         assert len(parts) == 1
+
+
+def test_jobs_load_check_and_publish(spark, tmp_path):
+    import jobs
+    from retenta.plans.ingest import conform
+    from retenta.sources import sinks
+    t = edge_tables(spark)
+    for name, df in t.as_dict().items():
+        sinks.write_csv(conform(df, name), str(tmp_path / "csv" / name))
+    jobs.main(["load", str(tmp_path / "csv"), str(tmp_path / "tables")])
+    jobs.main(["check", str(tmp_path / "tables"), str(tmp_path / "report")])
+    jobs.main(["features", str(tmp_path / "tables"), str(tmp_path / "features")])
+    jobs.main(["dashboard", str(tmp_path / "tables"), str(tmp_path / "dashboards")])
+    assert spark.read.parquet(str(tmp_path / "features")).count() > 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "report")).count() > 10
+    assert len(os.listdir(tmp_path / "dashboards")) == 6
