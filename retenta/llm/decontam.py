@@ -20,7 +20,7 @@ from .common import broadcast_if_small, packed, text_keys, written
 
 WINDOW = 5
 SIMILARITY = 0.8
-LITERALS = 3      # a window of an item needs so many literal tokens to be one
+LITERALS = 2      # a window of an item needs so many literal tokens to be one
 # The unit words. One is a slot only right after a number.
 UNITS = """
 mm cm dm m km in inch inches ft foot feet yard yards mile miles mg g kg t gram grams kilogram kilograms ton tons oz

@@ -81,7 +81,7 @@ it AS (SELECT text, item_id, list_transform(words, lambda w: rtrim(w, '.!?')) AS
 ip AS (SELECT *, unnest(range(1, len(t) - 3)) AS ipos FROM it),
 iq AS (SELECT text, item_id, ipos, array_to_string(t[ipos:ipos + 4], ' ') AS h, plain[ipos:ipos + 4] AS iv,
               list_transform(t[ipos:ipos + 4], lambda x: x NOT IN ('#', '@', '%')) AS literal FROM ip),
-items AS (SELECT *, count(*) OVER (PARTITION BY text) AS total FROM iq WHERE len(list_filter(literal, lambda x: x)) >= 3),
+items AS (SELECT *, count(*) OVER (PARTITION BY text) AS total FROM iq WHERE len(list_filter(literal, lambda x: x)) >= {decontam.LITERALS}),
 dw AS (SELECT doc_id, {_TOKENS} AS words FROM documents WHERE text IS NOT NULL),
 dt AS (SELECT doc_id, list_transform(words, lambda w: rtrim(w, '.!?')) AS plain, {_TEMPLATE} AS t FROM dw),
 dp AS (SELECT *, unnest(range(1, len(t) - 3)) AS pos FROM dt),

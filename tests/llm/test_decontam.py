@@ -23,7 +23,7 @@ def test_new_numbers_names_and_units_are_caught(spark):
     texts = [
         "Well. " + ITEM + " Then more.",
         ITEM.replace("Alice", "Carol").replace("Bob", "Dan").replace("3 kg", "7 tons").replace("12", "19"),
-        ITEM.upper(),
+        "Somebody said: " + ITEM,
         ITEM.replace("3 kg", "12 kg"),                       # one value for two numbers: no consistent reading
         ITEM.replace("Bob", "Alice"),                        # one name for two
         "When Alice bought 3 kg of red apples she went home.",
@@ -32,7 +32,7 @@ def test_new_numbers_names_and_units_are_caught(spark):
     ]
     want = [(0, True, 1), (1, True, 1), (2, True, 1)] + [(i, False, None) for i in range(3, 10)]
     got = run(spark, [ITEM, None, "", "short one"], texts)
-    assert got[:2] == want[:2] and got[3:] == want[3:]
+    assert got == want
 
 
 def test_plain_items_in_capitals(spark):
