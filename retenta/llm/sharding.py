@@ -11,8 +11,8 @@ A greedy placement is sequential, so it is run at two levels, each bounded:
    partitions); each cell packs its own groups into a fixed number of bundles of near-equal
    vectors, and the bundles are placed like large groups.
 
-A group above 1/16 of a shard cannot stay whole if the shards are to be near
-equal; it is cut into pieces by row, each at most about that large.
+A group above half a shard in any measure would leave no room to balance; it is
+cut into pieces by row, each at most about that large. All others stay whole.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import gapless, shuffle_partitions, written
 
 LARGE = 256       # a group of over 1/LARGE of a shard is placed by itself
-WHOLE = 16        # a group of over 1/WHOLE of a shard is cut into pieces
+WHOLE = 2         # a group of over 1/WHOLE of a shard is cut into pieces
 BUNDLES = 4       # bundles per cell and shard
 MEASURES = ["bytes", "tokens", "rows"]
 
@@ -49,7 +49,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size: UTF-8 bytes plus 1; a null text counts as the empty text. Law: ``bytes``.
-    Rows of equal text share a shard unless the group is over 1/16 of a shard.
+    Rows of equal text share a shard unless the group is over half a shard.
     slot: gapless from 0 in each shard. Repeated rows each keep a slot; null ids
     are allowed; other columns of ``docs`` are ignored. Empty input, empty result.
     """
