@@ -70,16 +70,18 @@ def packed(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *columns)
 
 
-def gapless(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+def gapless(df: DataFrame, group: str, order: list[str], out: str, bucket: Column | None = None) -> DataFrame:
     """Number the rows of each ``group`` from 0 without gaps and without one task per group.
 
-    Rows are dealt to hash buckets within the group; each bucket is numbered on
+    Rows are dealt to buckets within the group, by hash or by ``bucket``, and numbered by
+    bucket, then ``order``; where ``bucket`` is a prefix of the order, just by the order. Each bucket is numbered on
     its own and shifted by the rows in the group's earlier buckets. The table of
     shifts has (groups x buckets) rows. ``order`` must name the rows uniquely
     for repeatable numbers; equal rows get adjacent numbers in either order.
     """
-    buckets = 4 * shuffle_partitions(df.sparkSession)
-    dealt = df.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    if bucket is None:
+        bucket = F.pmod(F.xxhash64(*order), F.lit(4 * shuffle_partitions(df.sparkSession)))
+    dealt = df.withColumn("__b", bucket)
     before = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (dealt.groupBy(group, "__b").agg(F.count("*").alias("__n"))
               .select(group, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift")))

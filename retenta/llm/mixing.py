@@ -86,7 +86,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     # Null and text sources are told apart by s, which is what rows are numbered in.
     shared = written(shares(docs.groupBy("source").agg(F.count("*").alias("n")), weights, period), "mix-shares")
     named = F.broadcast(shared.select("s", "a", F.col("source").alias("named")))   # one row per source
-    ranked = gapless(keyed.join(named, F.col("source").eqNullSafe(F.col("named"))).drop("named"), "s", ["at", "doc_id"], "nth")
+    ranked = gapless(keyed.join(named, F.col("source").eqNullSafe(F.col("named"))).drop("named"), "s", ["at", "doc_id"], "nth",
+                     F.substring("at", 1, 3))
     j = F.floor(F.col("nth") / block_rows).cast("long")
     blocks = ranked.withColumn("block", j).withColumn("k", (F.col("block") % F.col("a")).cast("int"))
     plan = F.broadcast(written(schedule(shared), "mix-period"))                    # q rows
