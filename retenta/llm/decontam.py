@@ -43,8 +43,8 @@ def bare(token: Column) -> Column:
     return F.rtrim(token, F.lit(STOPS))
 
 
-def template(words: str) -> Column:
-    """Literals and typed placeholders of an array column of tokens.
+def template(words: str, plain: str) -> Column:
+    """Literals and typed placeholders of array columns of tokens, as read and without their stops.
 
     Number: begins with a digit (a unit written to it is part of its value).
     Unit: a unit word after a number. Name: capital and small letters, not at the start of a sentence.
@@ -52,20 +52,22 @@ def template(words: str) -> Column:
     def number(w):
         return (w >= "0") & (w < ":")
 
-    def one(raw, i):
-        w, before = bare(raw), F.col(words)[i - 1]
-        low = F.lower(w)
-        follows = (i > 0) & ~F.substring(before, -1, 1).isin(*STOPS)
-        return (F.when(number(w), NUMBER).when(low.isin(*UNITS) & (i > 0) & number(before), UNIT)
-                .when((w != low) & (w != F.upper(w)) & follows, NAME).otherwise(low))
+    def one(w, i):
+        low, before = F.lower(w), F.col(words)[i - 1]
+        unit = (i > 0) & number(before) & low.isin(*UNITS)
+        name = (w != F.upper(w)) & (i > 0) & ~F.substring(before, -1, 1).isin(*STOPS)
+        # Most tokens have no capitals: they are told apart first.
+        return F.when(w == low, F.when(number(w), NUMBER).when(unit, UNIT).otherwise(w)).when(
+            number(w), NUMBER).when(unit, UNIT).when(name, NAME).otherwise(low)
 
-    return F.transform(words, one)
+    return F.transform(plain, one)
 
 
 def windows(texts: DataFrame, *keys: str, templates: bool = False) -> DataFrame:
     """keys, pos, h (hash of a template window), v (its tokens), t (its template, on demand): every window of ``text``, none for null or short ones."""
     read = texts.select(*keys, tokens(F.col("text")).alias("words")).filter(F.size("words") >= WINDOW)
-    read = read.withColumn("t", template("words")).withColumn("plain", F.transform("words", bare))
+    read = read.withColumn("plain", F.transform("words", bare))
+    read = read.select(*keys, "plain", template("words", "plain").alias("t"))
     at = F.sequence(F.lit(0), F.size("t") - WINDOW)
     return read.select(*keys, F.explode(F.transform(at, lambda i: F.struct(
         i.alias("pos"), F.xxhash64(*[F.col("t")[i + j] for j in range(WINDOW)]).alias("h"),
