@@ -12,7 +12,7 @@ segments are one class with a count. The segments of a core are sorted in one
 suffix array: suffixes smaller than their successors directly, all others
 induced from them by bucket scans; neighbours with a common prefix of WIDTH
 bytes are repeats. A core of one class needs no sorting. A core of very many
-classes is dealt again by single starts, so no group is unbounded.
+classes is dealt again by parts and single starts, so no group is unbounded.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from .common import scratch_path, shuffle_partitions, text_keys, written
 WIDTH = 400
 GRAM = 64
 STEP = 200
+FINE = 10               # starts of a part of a crowded core: about the root of STEP, so both cuts cost alike
 CHUNK = 1 << 19         # bytes of text looked at together
-CROWD = 256             # classes of a core beyond which it is dealt by single starts
+CROWD = 256             # classes of a core beyond which it is dealt again
 BATCH = 1 << 16         # bytes of segments sorted together
 BASE = 0x9E3779B97F4A7C15
 _END = b"\xff"          # in no UTF-8 text
@@ -105,9 +106,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def spans(pieces: list[bytes], width: int, gram: int, step: int):
-    """(piece, first start, last start, core, segment hash) arrays over pieces of text."""
+    """(piece, first start, last start, core, segment hash, offset) arrays over pieces of text.
+
+    offset: of the first start from the span's first possible one.
+    """
     data = b"".join(pieces)
-    n, none = len(data), tuple(np.zeros(0, np.int64) for _ in range(5))
+    n, none = len(data), tuple(np.zeros(0, np.int64) for _ in range(6))
     if n < width:
         return none
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -142,13 +146,13 @@ def spans(pieces: list[bytes], width: int, gram: int, step: int):
     turn = name[1:] != name[:-1]
     opens, closes = np.append(True, turn) & valid, np.append(turn, True) & valid
     lo, hi = np.flatnonzero(opens), np.flatnonzero(closes)
-    left = anchor[lo] + grade[lo] * step          # before the span's first possible start
-    core = hashed(left + step, width - step + 1) ^ grade[lo].astype(np.uint64)
+    left = anchor[lo] + grade[lo] * step + 1      # the span's first possible start
+    core = hashed(left + step - 1, width - step + 1) ^ grade[lo].astype(np.uint64)
     digest = xxhash.xxh3_64_intdigest
-    segment = np.array([digest(data[a:b + width], a - c) for a, b, c in zip(lo.tolist(), hi.tolist(), (left).tolist())], np.uint64)
+    segment = np.array([digest(data[a:b + width], a - c) for a, b, c in zip(lo.tolist(), hi.tolist(), left.tolist())], np.uint64)
     piece = np.searchsorted(begins, lo, "right") - 1
     # Empty pieces begin where others do; the last that begins there holds the place.
-    return piece, lo - begins[piece], hi - begins[piece], core.view(np.int64), segment.view(np.int64)
+    return piece, lo - begins[piece], hi - begins[piece], core.view(np.int64), segment.view(np.int64), lo - left
 
 
 def _cut(texts, width: int, size: int):
@@ -175,16 +179,16 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, step: int =
     texts, _ = distinct_texts(docs)
 
     def describe(batches):
-        names = ["__k1", "__k2", "n", "lo", "hi", "core", "segment"]
+        names = ["__k1", "__k2", "n", "lo", "hi", "core", "segment", "off"]
         for pdf in batches:
             keys = [pdf[c].to_numpy() for c in ("__k1", "__k2", "copies")]
             held, size = [], 0
 
             def flush():
-                piece, lo, hi, core, segment = spans([h[2] for h in held], width, gram, step)
+                piece, lo, hi, core, segment, off = spans([h[2] for h in held], width, gram, step)
                 row = np.array([h[0] for h in held], np.int64)[piece]
                 at = np.array([h[1] for h in held], np.int64)[piece]
-                return pd.DataFrame(dict(zip(names, [k[row] for k in keys] + [lo + at, hi + at, core, segment])))
+                return pd.DataFrame(dict(zip(names, [k[row] for k in keys] + [lo + at, hi + at, core, segment, off])))
 
             for part in _cut(pdf["text"], width, CHUNK):
                 held.append(part)
@@ -196,19 +200,19 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, step: int =
                 yield flush()
 
     described = written(texts.mapInPandas(
-        describe, "__k1 long, __k2 long, n long, lo long, hi long, core long, segment long"), "spans")
-    cores = (described.groupBy("core").agg(F.sum("n").alias("times"), F.min("segment").alias("s0"), F.max("segment").alias("s1"))
-             .filter("times > 1").select("core", (F.col("s0") == F.col("s1")).alias("alike")))
+        describe, "__k1 long, __k2 long, n long, lo long, hi long, core long, segment long, off long"), "spans")
+    cores = written(described.groupBy("core").agg(F.sum("n").alias("times"), F.min("segment").alias("s0"), F.max("segment").alias("s1"))
+                    .filter("times > 1").select("core", (F.col("s0") == F.col("s1")).alias("alike")), "cores")
     marked = written(described.join(cores, "core"), "repeated-spans")
     # Cores of one class: all their starts repeat.
     whole = marked.filter("alike").select("__k1", "__k2", "lo", (F.col("hi") + width).alias("hi"))
     mixed = marked.filter("not alike")
     classes = mixed.groupBy("core", "segment").agg(
-        F.min(F.struct("__k1", "__k2", "lo", "hi")).alias("at"), F.sum("n").alias("n"))
+        F.min(F.struct("__k1", "__k2", "lo", "hi", "off")).alias("at"), F.sum("n").alias("n"))
     crowds = classes.groupBy("core").agg(F.count("*").alias("classes"))
     shown = classes.join(crowds, "core").select("core", "segment", "n", "classes", "at.*").join(
         texts.select("__k1", "__k2", "text"), ["__k1", "__k2"])
-    shown = written(shown.select("core", "segment", "n", "classes", F.substring(
+    shown = written(shown.select("core", "segment", "n", "classes", "off", F.substring(
         F.col("text").cast("binary"), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + width).cast("int")).alias("bytes")), "segments")
 
     def sort(batches):
@@ -239,16 +243,45 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, step: int =
 
     few = (shown.filter(F.col("classes") <= crowd).drop("classes").repartition("core").sortWithinPartitions("core", "segment")
            .select("core", "segment", "bytes", "n").mapInPandas(sort, "core long, segment long, a long, b long"))
-    # Single starts: the string itself is the core, and each group of equal strings is one class.
-    single = shown.filter(F.col("classes") > crowd).select("core", "segment", "n", F.posexplode(F.transform(
-        F.sequence(F.lit(1), F.length("bytes") - width + 1), lambda j: F.xxhash64(F.substring(F.col("bytes"), j, F.lit(width))))).alias("a", "h"))
-    often = single.groupBy("core", "h").agg(F.sum("n").alias("times")).filter("times > 1").drop("times")
-    many = single.join(often, ["core", "h"]).select("core", "segment", F.col("a").cast("long").alias("a"), F.col("a").cast("long").alias("b"))
+    many = _crowded(shown.filter(F.col("classes") > crowd).select("core", "segment", "n", "off", "bytes"), width)
     resolved = mixed.join(few.unionByName(many), ["core", "segment"]).select(
         "__k1", "__k2", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b") + width).alias("hi"))
     return texts, whole.unionByName(resolved)
 
 
+def _crowded(shown: DataFrame, width: int, fine: int = FINE) -> DataFrame:
+    """(core, segment, a, b): ranges of repeated starts of segments whose cores have very many classes.
+
+    The spans are cut again, into parts of ``fine`` starts at fixed places, with longer cores
+    of their own. Where all parts of such a core are alike, all starts repeat; of the
+    others the single starts are compared, each with its own ``width`` bytes as core.
+    Groups are only counted, never gathered.
+    """
+    last = F.length("bytes") - width                                   # of the segment's starts
+    parts = shown.select("core", "segment", "n", "off", "bytes", F.explode(F.sequence(
+        F.floor(F.col("off") / fine), F.floor((F.col("off") + last) / fine))).alias("part"))
+    begin = F.col("part") * fine - F.col("off")                        # of the part's possible starts
+    parts = parts.select(
+        "core", "segment", "n", "part", F.greatest(begin, F.lit(0)).cast("int").alias("a"),
+        F.least(begin + fine - 1, last).cast("int").alias("b"), "bytes",
+        F.xxhash64(F.substring("bytes", (begin + fine).cast("int"), F.lit(width - fine + 1))).alias("inner"))
+    parts = parts.select(
+        "core", "segment", "n", "part", "a", "b", "inner",
+        F.substring("bytes", F.col("a") + 1, F.col("b") - F.col("a") + width).alias("bytes")).withColumn(
+        "own", F.xxhash64("bytes"))
+    group = ["core", "part", "inner"]
+    often = parts.groupBy(*group).agg(F.sum("n").alias("times"), F.min("own").alias("s0"), F.max("own").alias("s1")).filter(
+        "times > 1").select(*group, (F.col("s0") == F.col("s1")).alias("alike"))
+    marked = written(parts.join(often, group), "crowded-parts")
+    whole = marked.filter("alike").select("core", "segment", "a", "b")
+    single = marked.filter("not alike").select("core", "segment", "n", "a", F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.length("bytes") - width + 1), lambda j: F.xxhash64(F.substring(F.col("bytes"), j, F.lit(width))))).alias("at", "h"))
+    twice = single.groupBy("core", "h").agg(F.sum("n").alias("times")).filter("times > 1").drop("times")
+    start = F.col("a") + F.col("at")
+    lone = single.join(twice, ["core", "h"]).select("core", "segment", start.alias("a"), start.alias("b"))
+    return whole.unionByName(lone).select("core", "segment", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+
+
 def kept_bytes(text: str | None, ranges) -> tuple[bytes, int, int]:
     """What is left of a text's bytes, the number removed and the number of maximal removed runs."""
     data, out, at, removed, runs = (text or "").encode("utf-8"), [], 0, 0, 0
