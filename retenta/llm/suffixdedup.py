@@ -30,7 +30,7 @@ from .common import scratch_path, shuffle_partitions, text_keys, written
 WIDTH = 400
 GRAM = 64
 STEP = 200
-FINE = 10               # starts of a part of a crowded core: about the root of STEP, so both cuts cost alike
+CUTS = (50, 10, 2, 1)   # starts of a part of a crowded core, cut after cut
 CHUNK = 1 << 19         # bytes of text looked at together
 CROWD = 256             # classes of a core beyond which it is dealt again
 BATCH = 1 << 16         # bytes of segments sorted together
@@ -249,37 +249,34 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, step: int =
     return texts, whole.unionByName(resolved)
 
 
-def _crowded(shown: DataFrame, width: int, fine: int = FINE) -> DataFrame:
+def _crowded(shown: DataFrame, width: int, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """(core, segment, a, b): ranges of repeated starts of segments whose cores have very many classes.
 
-    The spans are cut again, into parts of ``fine`` starts at fixed places, with longer cores
-    of their own. Where all parts of such a core are alike, all starts repeat; of the
-    others the single starts are compared, each with its own ``width`` bytes as core.
-    Groups are only counted, never gathered.
+    Spans are cut again and again, into parts of ever fewer starts at fixed places, with
+    longer cores of their own. Where all parts of such a core are alike, all their starts
+    repeat; the others are cut further. A part of one start is its own core. Groups are
+    only counted, never gathered.
     """
-    last = F.length("bytes") - width                                   # of the segment's starts
-    parts = shown.select("core", "segment", "n", "off", "bytes", F.explode(F.sequence(
-        F.floor(F.col("off") / fine), F.floor((F.col("off") + last) / fine))).alias("part"))
-    begin = F.col("part") * fine - F.col("off")                        # of the part's possible starts
-    parts = parts.select(
-        "core", "segment", "n", "part", F.greatest(begin, F.lit(0)).cast("int").alias("a"),
-        F.least(begin + fine - 1, last).cast("int").alias("b"), "bytes",
-        F.xxhash64(F.substring("bytes", (begin + fine).cast("int"), F.lit(width - fine + 1))).alias("inner"))
-    parts = parts.select(
-        "core", "segment", "n", "part", "a", "b", "inner",
-        F.substring("bytes", F.col("a") + 1, F.col("b") - F.col("a") + width).alias("bytes")).withColumn(
-        "own", F.xxhash64("bytes"))
-    group = ["core", "part", "inner"]
-    often = parts.groupBy(*group).agg(F.sum("n").alias("times"), F.min("own").alias("s0"), F.max("own").alias("s1")).filter(
-        "times > 1").select(*group, (F.col("s0") == F.col("s1")).alias("alike"))
-    marked = written(parts.join(often, group), "crowded-parts")
-    whole = marked.filter("alike").select("core", "segment", "a", "b")
-    single = marked.filter("not alike").select("core", "segment", "n", "a", F.posexplode(F.transform(
-        F.sequence(F.lit(1), F.length("bytes") - width + 1), lambda j: F.xxhash64(F.substring(F.col("bytes"), j, F.lit(width))))).alias("at", "h"))
-    twice = single.groupBy("core", "h").agg(F.sum("n").alias("times")).filter("times > 1").drop("times")
-    start = F.col("a") + F.col("at")
-    lone = single.join(twice, ["core", "h"]).select("core", "segment", start.alias("a"), start.alias("b"))
-    return whole.unionByName(lone).select("core", "segment", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    rows = shown.select("core", "segment", "n", "off", F.lit(0).cast("long").alias("lead"), "bytes")
+    found = None
+    for fine in cuts:
+        last = F.length("bytes") - width                               # of the row's starts
+        begin = F.col("part") * fine - F.col("off")                    # of the part's possible starts
+        parts = rows.select("*", F.explode(F.sequence(
+            F.floor(F.col("off") / fine), F.floor((F.col("off") + last) / fine))).alias("part"))
+        parts = parts.select("*", F.greatest(begin, F.lit(0)).cast("int").alias("a"), F.least(begin + fine - 1, last).cast("int").alias("b"),
+                             F.xxhash64(F.substring("bytes", (begin + fine).cast("int"), F.lit(width - fine + 1))).alias("inner"))
+        parts = parts.select(
+            "core", "segment", "n", "part", "inner", (F.col("off") + F.col("a")).alias("off"), (F.col("lead") + F.col("a")).alias("lead"),
+            F.substring("bytes", F.col("a") + 1, F.col("b") - F.col("a") + width).alias("bytes")).withColumn("own", F.xxhash64("bytes"))
+        group = ["core", "part", "inner"]
+        often = parts.groupBy(*group).agg(F.sum("n").alias("times"), F.min("own").alias("s0"), F.max("own").alias("s1")).filter(
+            "times > 1").select(*group, (F.col("s0") == F.col("s1")).alias("alike"))
+        marked = written(parts.join(often, group), "crowded-parts")
+        whole = marked.filter("alike").select("core", "segment", F.col("lead").alias("a"), (F.col("lead") + last).cast("long").alias("b"))
+        found = whole if found is None else found.unionByName(whole)
+        rows = marked.filter("not alike").select("core", "segment", "n", "off", "lead", "bytes")
+    return found
 
 
 def kept_bytes(text: str | None, ranges) -> tuple[bytes, int, int]:
