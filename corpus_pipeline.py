@@ -29,8 +29,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' places in 16 balanced shards."""
-    return sharding.shard(docs, shards=16)
+    """All documents' places in 16 balanced shards, slots in the mixed order."""
+    return sharding.shard(docs, shards=16, arriving=True)
 
 
 STAGES = [

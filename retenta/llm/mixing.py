@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, packed, written
+from .common import gapless, packed, shuffle_partitions, written
 
 PERIOD = 1000      # slots in a period: weights are kept to 1/PERIOD
 BLOCK_ROWS = 16    # rows in a block
@@ -81,6 +81,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     go by md5 of doc_id, then doc_id; repeated rows get positions side by side. A null
     source is a source of its own, null ids hash as the empty text. Empty input, empty result.
     """
+    return _mixed(docs, weights, period, block_rows)[0]
+
+
+def _mixed(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD,
+           block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+    """The result of ``mix`` and its number of rows."""
     keyed = packed(docs, F.col("source").alias("source"), F.col("doc_id").alias("doc_id"),
                    F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("at"))
     # Null and text sources are told apart by s, which is what rows are numbered in.
@@ -95,14 +101,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     turn = F.floor(F.col("block") / F.col("a")).cast("long")
     before = F.aggregate("had", F.lit(0).cast("long"), lambda acc, x: acc + F.least(
         x["n"], (F.col("turn") * x["a"] + x["had"]) * block_rows))
-    return placed.withColumn("turn", turn).select(
+    mixed = placed.withColumn("turn", turn).select(
         "__row", "doc_id", "source", "block", (F.col("turn") * F.col("q") + F.col("r")).alias("slot"),
         F.floor(F.col("block") * F.col("q") / F.col("a")).cast("long").alias("release"),
         F.ceil((F.col("block") + 1) * F.col("q") / F.col("a")).cast("long").alias("deadline"),
         (before + F.col("nth") % block_rows).cast("long").alias("position"))
+    return mixed, shared.agg(F.sum("n")).first()[0] or 0
 
 
-def interleaved(docs: DataFrame, chunk: int = 4096, **options) -> DataFrame:
-    """``docs`` with its own columns in the mixed order: runs of ``chunk`` positions share a partition, sorted."""
-    mixed = mix(docs, **options)
-    return (mixed.repartition(F.floor(F.col("position") / chunk)).sortWithinPartitions("position").select("__row.*"))
+def interleaved(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with its own columns in the mixed order: partitions (and files written of them) are successive ranges of positions, sorted."""
+    mixed, rows = _mixed(docs, **options)
+    parts = shuffle_partitions(docs.sparkSession)
+    # Positions are gapless, so that even ranges need no sample.
+    return (mixed.repartitionById(parts, F.floor(F.col("position") * parts / F.lit(max(rows, 1))).cast("int"))
+            .sortWithinPartitions("position").select("__row.*"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import gapless, shuffle_partitions, written
@@ -27,6 +27,7 @@ from .common import gapless, shuffle_partitions, written
 LARGE = 256       # a group of over 1/LARGE of a shard is placed by itself
 WHOLE = 2         # a group of over 1/WHOLE of a shard is cut into pieces
 BUNDLES = 4       # bundles per cell and shard
+FILES = 1_000_000  # part files of one task, and runs of 2^16 rows in a file, stay under it
 MEASURES = ["bytes", "tokens", "rows"]
 WEIGHTS = [1.0, 0.1, 0.1]   # of the measures in the dot product: the law holds bytes near equal
 
@@ -47,12 +48,30 @@ def place(items: np.ndarray, capacity: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
+def arrival(docs: DataFrame) -> list[Column]:
+    """file, at: the order in which rows arrive, by part file and row in it as written, else by partition and row in it.
+
+    Files are read in any order (largest first), so that their own names and row numbers are taken.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        uid = F.monotonically_increasing_id()
+        return [F.shiftright(uid, 33).alias("file"), uid.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")]
+    name = F.col("_metadata.file_name")
+
+    def number(pattern: str) -> Column:
+        return F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0))
+
+    return [(number(r"^part-(\d+)") * FILES + number(r"-c(\d+)")).cast("long").alias("file"),
+            F.col("_metadata.row_index").alias("at")]
+
+
+def shard(docs: DataFrame, shards: int = 16, arriving: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size: UTF-8 bytes plus 1; a null text counts as the empty text. Law: ``bytes``.
     Rows of equal text share a shard unless the group is over half a shard.
-    slot: gapless from 0 in each shard. Repeated rows each keep a slot; null ids
+    slot: gapless from 0 in each shard, by hash of the row or, if ``arriving``, in the order
+    in which rows arrive. Repeated rows each keep a slot; null ids
     are allowed; other columns of ``docs`` are ignored. Empty input, empty result.
     """
     spark = docs.sparkSession
@@ -61,7 +80,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         "doc_id", F.xxhash64(text).alias("key"), F.crc32(text.cast("binary")).alias("text_crc32"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.size(F.split(F.trim(text), r"\s+")).cast("long").alias("tokens"),
-        F.monotonically_increasing_id().alias("uid")), "shard-rows")
+        F.monotonically_increasing_id().alias("uid"), *(arrival(docs) if arriving else [])), "shard-rows")
     group = ["key", "text_crc32", "size"]
     total = rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
     capacity = [float(x or 0) / shards for x in total]
@@ -100,7 +119,9 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     placed = bundles.groupBy().applyInPandas(deal, "cell long, bin long, shard int")
     homes = packed.join(placed, ["cell", "bin"]).select(*group, "shard")
-    dealt = rows.join(homes, group).select("doc_id", "size", "text_crc32", "shard", "uid")
-    numbered = gapless(dealt, "shard", ["doc_id", "uid"], "slot")
+    order = ["file", "at"] if arriving else ["doc_id", "uid"]
+    run = (F.col("file") * FILES + F.shiftright("at", 16)) if arriving else None   # 2^16 rows of a file
+    dealt = rows.join(homes, group).select("doc_id", "size", "text_crc32", "shard", *order[-2 if arriving else -1:])
+    numbered = gapless(dealt, "shard", order, "slot", run)
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                            F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

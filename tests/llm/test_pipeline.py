@@ -1,3 +1,5 @@
+import collections
+import hashlib
 import math
 import os
 
@@ -6,10 +8,11 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from retenta.llm import decontam, quality, simhash
+from retenta.llm import decontam, mixing, quality, simhash
 from retenta.llm.common import table
 from retenta.llm.registry import ORACLES, QUERIES
 from .conftest import rows
+from .test_mixing import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +60,27 @@ def test_oracles(spark, name):
         return None if isinstance(v, float) and math.isnan(v) else v
     theirs = [tuple(clean(r[want.columns.index(c)]) for c in columns) for r in want.fetchall()]
     assert rows(df, *columns) == sorted(theirs, key=lambda r: [(x is not None, x) for x in r])
+
+
+@pytest.mark.parametrize("through_files", [True, False])
+def test_slots_of_a_shard_follow_the_mixed_order(spark, tmp_path, through_files):
+    """Against the order of a slot-by-slot simulation, from written files (which Spark reads largest first) and directly."""
+    sizes = {"hot": 2500, "b": 400, None: 300, "c": 100}
+    data = [(i, s, f"text {i} " + "long " * ((i * 7919) % 60)) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    mixed = corpus_pipeline.mix(spark, spark.createDataFrame(data, "doc_id long, source string, text string").repartition(5), SF)
+    if through_files:
+        mixed.write.parquet(str(tmp_path / "mixed"))
+        mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    weights = {s: n ** 0.5 for s, n in sizes.items()}
+    a, q, slots = brute(sizes, weights, mixing.PERIOD, mixing.BLOCK_ROWS)
+    own = {s: sorted((i for i, x, _ in data if x == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for s in sizes}
+    order = [i for _, (s, k) in sorted(slots.items()) for i in own[s][k * mixing.BLOCK_ROWS:(k + 1) * mixing.BLOCK_ROWS]]
+    got = corpus_pipeline.shard(spark, mixed, SF).select("doc_id", "shard", "slot").collect()
+    shards = {r["doc_id"]: r["shard"] for r in got}
+    for n in range(16):
+        want = [i for i in order if shards[i] == n]
+        assert [r["doc_id"] for r in sorted(got, key=lambda r: r["slot"]) if r["shard"] == n] == want
+    # While all sources last, the first slots of the shards hold the target shares.
+    prefix = [r["doc_id"] for r in got if r["slot"] < 30]
+    held = collections.Counter(data[i][1] for i in prefix)
+    assert all(abs(held[s] / len(prefix) - a[s] / q) < 0.06 for s in sizes)
