@@ -9,10 +9,17 @@ one reading of the item; its slots must bind consistently: each item value
 stands for one document value and the other way round. A document that holds at least
 0.8 of an item's windows in consistent readings contains the item, whether
 verbatim or with other numbers, names and units.
+
+Whether a word is a name depends on its case and on the stop before it, which copies change. So each window is
+read a second way too, in which names are lower-case literals, and an item's window is held if any reading of
+it is. The first reading decides where it finds an item; the others serve the texts in which it finds none.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,31 +70,68 @@ def template(words: str, plain: str) -> Column:
     return F.transform(plain, one)
 
 
+def readings(words: str, plain: str) -> dict[str, Column]:
+    """Templates of a text: ``a`` as ``template`` reads it; ``b`` with names as lower-case literals, so that
+    neither case nor stops matter."""
+    a = template(words, plain)
+    return {"a": a, "b": F.transform(a, lambda k, i: F.when(k == NAME, F.lower(F.col(plain)[i])).otherwise(k))}
+
+
 def windows(texts: DataFrame, *keys: str, templates: bool = False) -> DataFrame:
-    """keys, pos, h (hash of a template window), v (its tokens), t (its template, on demand): every window of ``text``, none for null or short ones."""
+    """Every template window of ``text`` in each reading, equal ones once; none for null or short texts.
+
+    keys, pos, h (hash of the window), first (as the first reading has it), v (its tokens), t (its template, on demand).
+    """
     read = texts.select(*keys, tokens(F.col("text")).alias("words")).filter(F.size("words") >= WINDOW)
     read = read.withColumn("plain", F.transform("words", bare))
-    read = read.select(*keys, "plain", template("words", "plain").alias("t"))
-    at = F.sequence(F.lit(0), F.size("t") - WINDOW)
-    return read.select(*keys, F.explode(F.transform(at, lambda i: F.struct(
-        i.alias("pos"), F.xxhash64(*[F.col("t")[i + j] for j in range(WINDOW)]).alias("h"),
-        F.slice("plain", i + 1, WINDOW).alias("v"), *([F.slice("t", i + 1, WINDOW).alias("t")] if templates else [])
-    ))).alias("w")).select(*keys, "w.*")
+    names = list(readings("words", "plain"))
+    read = read.select(*keys, "plain", *[t.alias(f"t_{r}") for r, t in readings("words", "plain").items()])
+    # Each token is hashed once.
+    read = read.select("*", *[F.transform(f"t_{r}", lambda k: F.xxhash64(k)).alias(f"h_{r}") for r in names])
+
+    def one(r: str, i: Column) -> Column:
+        return F.struct(i.alias("pos"), F.xxhash64(*[F.col(f"h_{r}")[i + j] for j in range(WINDOW)]).alias("h"),
+                        F.lit(r == "a").alias("first"), F.slice("plain", i + 1, WINDOW).alias("v"),
+                        *([F.slice(f"t_{r}", i + 1, WINDOW).alias("t")] if templates else []))
+
+    def same(r: str, q: str, i: Column) -> Column:
+        return reduce(and_, [F.col(f"h_{r}")[i + j] == F.col(f"h_{q}")[i + j] for j in range(WINDOW)])
+
+    def of(r: str) -> Column:
+        """The windows of a reading that no earlier one has."""
+        at, earlier = F.sequence(F.lit(0), F.size("plain") - WINDOW), names[:names.index(r)]
+        if earlier:
+            at = F.filter(at, lambda i: ~reduce(or_, [same(r, q, i) for q in earlier]))
+        return F.transform(at, lambda i: one(r, i))
+
+    every = F.concat(*map(of, names))
+    return read.select(*keys, F.explode(every).alias("w")).select(*keys, "w.*")
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """Windows of distinct item texts, with the item's smallest item_id and number of windows."""
+    """Windows of distinct item texts, with the item's smallest item_id and number of windows.
+
+    Positions count (``counts``) where the first reading has enough literals; in items without such a one,
+    where the second has.
+    """
     texts = benchmark.filter("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     rows = windows(texts.withColumn("item", F.xxhash64("text")), "item", "item_id", templates=True)
     rows = rows.withColumn("literal", F.transform("t", lambda k: ~k.isin(NUMBER, NAME, UNIT)))
     rows = rows.filter(F.size(F.filter("literal", lambda x: x)) >= LITERALS)
-    totals = rows.groupBy("item").agg(F.count("*").alias("total"))
-    return rows.join(totals, "item").select("h", "item", "item_id", "total", F.col("pos").alias("ipos"),
-                                            F.col("v").alias("iv"), "literal")
+    totals = rows.groupBy("item").agg(F.collect_set(F.when(F.col("first"), F.col("pos"))).alias("one"),
+                                      F.collect_set("pos").alias("two"))
+    totals = totals.select("item", F.when(F.size("one") > 0, F.col("one")).otherwise(F.col("two")).alias("places"))
+    return rows.join(totals, "item").select(
+        "h", "item", "item_id", F.size("places").alias("total"), F.col("pos").alias("ipos"), F.col("v").alias("iv"),
+        "literal", F.col("first").alias("ifirst"), (~F.array_contains("t", NAME)).alias("plain"),
+        F.array_contains("places", F.col("pos")).alias("counts"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """__k1, __k2 (names of a text), item_id, share: the contained item of highest share (ties: smallest id) of each text that has one."""
+    """__k1, __k2 (names of a text), item_id, share: the contained item of highest share (ties: smallest id) of each text that has one.
+
+    Items found in the first reading go before those that take the others to be found.
+    """
     items = written(_items(benchmark), "benchmark-windows")
     found = windows(docs.select(*text_keys(F.col("text")), "text"), "__k1", "__k2").join(
         broadcast_if_small(items, 200), "h")
@@ -95,15 +139,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     bound = F.filter(F.transform("iv", lambda x, j: F.when(~F.col("literal")[j], F.struct(
         x.alias("item"), F.col("v")[j].alias("doc")))), lambda x: x.isNotNull())
     read = (found.select("__k1", "__k2", "item", "item_id", "total", (F.col("pos") - F.col("ipos")).alias("diagonal"),
-                         F.struct("ipos", bound.alias("bound")).alias("hit"))
+                         F.struct("ipos", "counts", (F.col("first") & F.col("ifirst")).alias("first"),
+                                  "ifirst", "plain", bound.alias("bound")).alias("hit"))
             .groupBy("__k1", "__k2", "item", "item_id", "total", "diagonal").agg(F.collect_set("hit").alias("hits")))
-    pairs = F.array_distinct(F.flatten("hits.bound"))
-    consistent = read.withColumn("pairs", pairs).filter(
-        (F.size("pairs") == F.size(F.array_distinct("pairs.item"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.doc"))))
-    held = (consistent.select("__k1", "__k2", "item", "item_id", "total", F.explode("hits.ipos").alias("ipos"))
-            .groupBy("__k1", "__k2", "item", "item_id", "total").agg(F.countDistinct("ipos").alias("n"))
-            .withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= similarity))
-    best = F.max(F.struct("share", (-F.col("item_id")).alias("minus"), "item")).alias("b")
+
+    def consistent(hits: str) -> Column:
+        pairs = F.array_distinct(F.flatten(F.col(f"{hits}.bound")))
+        return (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"])))) & (
+            F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["doc"]))))
+
+    read = read.select("*", F.filter("hits", lambda x: x["first"]).alias("once"),
+                       F.filter("hits", lambda x: x["plain"]).alias("words"))
+    none = F.lit(None).cast("array<int>")
+    # A reading whose slots conflict doesn't void the one that has fewer slots.
+    ways = F.when(consistent("hits"), F.filter("hits", lambda x: x["counts"])).when(
+        consistent("words"), F.filter("words", lambda x: x["counts"]))
+    read = read.select("__k1", "__k2", "item", "item_id", "total",
+                       F.when(consistent("once"), F.col("once.ipos")).otherwise(none).alias("one"),
+                       F.transform(ways, lambda x: x["ipos"]).alias("any"))
+    places = F.size(F.array_distinct(F.flatten(F.collect_list("one"))))
+    every = F.size(F.array_distinct(F.concat(F.flatten(F.collect_list("one")), F.flatten(F.collect_list("any")))))
+    held = (read.groupBy("__k1", "__k2", "item", "item_id", "total").agg(places.alias("n1"), every.alias("n2"))
+            .withColumn("first", F.col("n1") / F.col("total") >= similarity)
+            .withColumn("share", F.when(F.col("first"), F.col("n1")).otherwise(F.col("n2")) / F.col("total"))
+            .filter(F.col("share") >= similarity))
+    best = F.max(F.struct("first", "share", (-F.col("item_id")).alias("minus"), "item")).alias("b")
     return held.groupBy("__k1", "__k2").agg(best).select("__k1", "__k2", (-F.col("b.minus")).alias("item_id"), "b.share")
 
 
@@ -111,7 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     """One row per row of ``docs`` (doc_id, text): doc_id, contaminated, item_id, share.
 
     item_id and share are null for clean documents. Null and short texts (under five
-    tokens) are clean. Items without text, or with no window of enough literals, match nothing; an item
+    tokens) are clean. Items without text, or with no window of enough literals in any reading, match nothing; an item
     without id can match, with null item_id; items of equal text count as one. Null doc_ids and
     repeated rows are kept; other columns are ignored. Empty benchmark: all clean.
     """

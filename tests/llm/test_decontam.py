@@ -69,3 +69,17 @@ def test_clean_keeps_columns_rows_and_empty_tables(spark, docs, none):
     again = docs.unionByName(docs.limit(1).selectExpr("doc_id", f"'{ITEM}' as text", *[f"`{c}`" for c in docs.columns[2:]]))
     assert collections.Counter(decontam.clean(again, b).columns) == collections.Counter(docs.columns)
     assert decontam.clean(again, b).count() == docs.count()
+
+
+def test_copies_in_other_case_and_without_stops(spark):
+    prose = "Here Alice met Bob near Rome. There Carol saw Dan. Then all of them went home again. Later on Eve came too."
+    short = "Green apples were sold here"
+    names = "Alice Bob Carol Dan Eve Frank"
+    texts = []
+    for item in (ITEM, prose, short, names):
+        bare = re.sub("[.,!?]", "", item)
+        texts += ["x y " + t + " z" for t in (item, item.lower(), item.upper(), bare, re.sub("[.,!?]", ",", item), re.sub("[.,!?] ?", "\n", item))]
+    got = run(spark, [ITEM, prose, short, names], texts)
+    assert got == [(i, True, i // 6 + 1) for i in range(24)]
+    other = [prose.lower().replace("alice", "x").replace("dan", "y").replace("them", "us"), "Green apples were eaten here", "zoe bob carol dan eve max"]
+    assert run(spark, [prose, short, names], other) == [(i, False, None) for i in range(3)]
