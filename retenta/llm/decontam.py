@@ -11,8 +11,8 @@ stands for one document value and the other way round. A document that holds at
 verbatim or with other numbers, names and units.
 
 Whether a word is a name depends on its case and on the stop before it, which copies change. So each window is
-read a second way too, in which names are lower-case literals, and an item's window is held if any reading of
-it is. The first reading decides where it finds an item; the others serve the texts in which it finds none.
+read two more ways, in which names are lower-case literals, and in which capitalised words at the start of a
+sentence are names, and an item's window is held if any reading of it is. The first reading decides where it finds an item; the others serve the texts in which it finds none.
 """
 
 from __future__ import annotations
@@ -72,9 +72,15 @@ def template(words: str, plain: str) -> Column:
 
 def readings(words: str, plain: str) -> dict[str, Column]:
     """Templates of a text: ``a`` as ``template`` reads it; ``b`` with names as lower-case literals, so that
-    neither case nor stops matter."""
+    neither case nor stops matter; ``c`` with capitalised words as names at the start of a sentence too."""
     a = template(words, plain)
-    return {"a": a, "b": F.transform(a, lambda k, i: F.when(k == NAME, F.lower(F.col(plain)[i])).otherwise(k))}
+
+    def anywhere(k, i):
+        w = F.col(plain)[i]
+        return F.when(~k.isin(NUMBER, UNIT) & (w != F.lower(w)) & (w != F.upper(w)), NAME).otherwise(k)
+
+    return {"a": a, "b": F.transform(a, lambda k, i: F.when(k == NAME, F.lower(F.col(plain)[i])).otherwise(k)),
+            "c": F.transform(a, anywhere)}
 
 
 def windows(texts: DataFrame, *keys: str, templates: bool = False) -> DataFrame:
@@ -112,7 +118,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     """Windows of distinct item texts, with the item's smallest item_id and number of windows.
 
     Positions count (``counts``) where the first reading has enough literals; in items without such a one,
-    where the second has.
+    where another has.
     """
     texts = benchmark.filter("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     rows = windows(texts.withColumn("item", F.xxhash64("text")), "item", "item_id", templates=True)
@@ -149,10 +155,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
             F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["doc"]))))
 
     read = read.select("*", F.filter("hits", lambda x: x["first"]).alias("once"),
+                       F.filter("hits", lambda x: x["plain"] | x["ifirst"]).alias("initials"),
                        F.filter("hits", lambda x: x["plain"]).alias("words"))
     none = F.lit(None).cast("array<int>")
     # A reading whose slots conflict doesn't void the one that has fewer slots.
     ways = F.when(consistent("hits"), F.filter("hits", lambda x: x["counts"])).when(
+        consistent("initials"), F.filter("initials", lambda x: x["counts"])).when(
         consistent("words"), F.filter("words", lambda x: x["counts"]))
     read = read.select("__k1", "__k2", "item", "item_id", "total",
                        F.when(consistent("once"), F.col("once.ipos")).otherwise(none).alias("one"),

@@ -83,3 +83,12 @@ def test_copies_in_other_case_and_without_stops(spark):
     assert got == [(i, True, i // 6 + 1) for i in range(24)]
     other = [prose.lower().replace("alice", "x").replace("dan", "y").replace("them", "us"), "Green apples were eaten here", "zoe bob carol dan eve max"]
     assert run(spark, [prose, short, names], other) == [(i, False, None) for i in range(3)]
+
+
+def test_names_that_start_sentences_may_change(spark):
+    item = ("Natalia sold 48 clips to her friends in April. Natalia then sold half as many clips in May. "
+            "Weng helped her with 10 more. How many clips did they sell in all?")
+    other = item.replace("Natalia", "Maria").replace("Weng", "Paul").replace("48", "36").replace("April", "June")
+    mixed = other.replace("Maria then", "Olga then")            # one name for two: that sentence's windows only bind otherwise
+    assert run(spark, [item], ["Well then " + other + " Yes.", other, "It says: " + other, mixed]) == [
+        (0, True, 1), (1, True, 1), (2, True, 1), (3, False, None)]
