@@ -12,14 +12,12 @@ verbatim or with other numbers, names and units.
 
 Whether a word is a name depends on its case and on the stop before it, which copies change. So each window is
 read two more ways, in which names are lower-case literals, and in which capitalised words at the start of a
-sentence are names, and an item's window is held if any reading of it is. The first reading decides where it finds an item; the others serve the texts in which it finds none.
+sentence are names, and an item's window is held if any reading of it is. The first reading decides where it
+finds an item; the others serve the texts in which it finds none.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_, or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,27 +88,23 @@ def windows(texts: DataFrame, *keys: str, templates: bool = False) -> DataFrame:
     """
     read = texts.select(*keys, tokens(F.col("text")).alias("words")).filter(F.size("words") >= WINDOW)
     read = read.withColumn("plain", F.transform("words", bare))
-    names = list(readings("words", "plain"))
     read = read.select(*keys, "plain", *[t.alias(f"t_{r}") for r, t in readings("words", "plain").items()])
-    # Each token is hashed once.
-    read = read.select("*", *[F.transform(f"t_{r}", lambda k: F.xxhash64(k)).alias(f"h_{r}") for r in names])
+    # Each token is hashed once. A window differs in the second and third reading where a token in it does.
+    read = read.select("*", *[F.transform(f"t_{r}", lambda k: F.xxhash64(k)).alias(f"h_{r}") for r in "abc"])
+    last = F.size("plain") - WINDOW
 
     def one(r: str, i: Column) -> Column:
         return F.struct(i.alias("pos"), F.xxhash64(*[F.col(f"h_{r}")[i + j] for j in range(WINDOW)]).alias("h"),
                         F.lit(r == "a").alias("first"), F.slice("plain", i + 1, WINDOW).alias("v"),
                         *([F.slice(f"t_{r}", i + 1, WINDOW).alias("t")] if templates else []))
 
-    def same(r: str, q: str, i: Column) -> Column:
-        return reduce(and_, [F.col(f"h_{r}")[i + j] == F.col(f"h_{q}")[i + j] for j in range(WINDOW)])
-
-    def of(r: str) -> Column:
-        """The windows of a reading that no earlier one has."""
-        at, earlier = F.sequence(F.lit(0), F.size("plain") - WINDOW), names[:names.index(r)]
-        if earlier:
-            at = F.filter(at, lambda i: ~reduce(or_, [same(r, q, i) for q in earlier]))
-        return F.transform(at, lambda i: one(r, i))
+    def other(r: str) -> Column:
+        at = F.filter(F.transform(f"h_{r}", lambda h, i: F.when(h != F.col("h_a")[i], i)), lambda i: i.isNotNull())
+        around = F.transform(at, lambda i: F.sequence(F.greatest(i - (WINDOW - 1), F.lit(0)), F.least(i, last), F.lit(1)))
+        return F.transform(F.array_distinct(F.flatten(around)), lambda i: one(r, i))
 
-    every = F.concat(*map(of, names))
+    at_all = F.sequence(F.lit(0), last)
+    every = F.concat(F.transform(at_all, lambda i: one("a", i)), other("b"), other("c"))
     return read.select(*keys, F.explode(every).alias("w")).select(*keys, "w.*")
 
 
