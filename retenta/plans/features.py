@@ -57,10 +57,10 @@ def first_order_features(t: Tables, method: str = "aggregate") -> DataFrame:
 
 
 def feature_profile(features: DataFrame) -> dict[str, DataFrame]:
-    """Shape, normalised class balance (4 dp), nulls per column and a 5-row preview."""
+    """Shape, normalised class balance (4 dp), nulls per column and the first 5 rows by person (no person last)."""
     return {
         "shape": shape(features),
         "class_balance": value_counts(features, "became_repeat_buyer", normalize=True, digits=4),
         "null_counts": null_counts(features),
-        "preview": features.orderBy(PERSON).limit(5),
+        "preview": features.orderBy(F.col(PERSON).asc_nulls_last()).limit(5),
     }

@@ -11,7 +11,7 @@ Fixed values of the mapping:
 - status F -> delivered, O -> shipped, P -> canceled
 - purchase time = o_orderdate + (o_orderkey % 86400) seconds
 - delivered = NULL when o_orderkey % 37 = 0, else o_orderdate + ((o_orderkey * 7) % 45) days
-- estimated = o_orderdate + 30 days
+- estimated = NULL when o_orderkey % 149 = 0, else o_orderdate + 30 days
 - product category = p_brand, NULL when p_partkey % 50 = 0
 - category translation: every brand except 'Brand#13', english = 'cat_' || lower(brand)
 - item price = l_extendedprice, freight = l_quantity, both DECIMAL(10,2)
@@ -52,7 +52,7 @@ def map_orders(o: DataFrame) -> DataFrame:
         purchase.alias("order_approved_at"),
         F.lit(None).cast("timestamp_ntz").alias("order_delivered_carrier_date"),
         delivered.alias("order_delivered_customer_date"),
-        (day + F.make_dt_interval(days=F.lit(30))).alias("order_estimated_delivery_date"),
+        F.when(key % 149 != 0, day + F.make_dt_interval(days=F.lit(30))).alias("order_estimated_delivery_date"),
     )
 
 
@@ -169,7 +169,7 @@ m_orders AS (
          CASE WHEN o_orderkey % 37 <> 0
               THEN o_orderdate + to_days(CAST((o_orderkey * 7) % 45 AS INTEGER)) END
            AS order_delivered_customer_date,
-         o_orderdate + to_days(30) AS order_estimated_delivery_date
+         CASE WHEN o_orderkey % 149 <> 0 THEN o_orderdate + to_days(30) END AS order_estimated_delivery_date
   FROM orders),
 m_customers AS (
   SELECT o.o_orderkey AS customer_id,

@@ -22,8 +22,8 @@ def test_bucketed_layout_same_results_fewer_shuffles(spark, tmp_path):
     bt = write_bucketed(spark, t, "layout_test", 4, base_path=str(tmp_path))
     for fn in (kpis.repeat_purchase_rate, kpis.customer_lifetime_value):
         assert fn(t).collect() == fn(bt).collect()
-    a = sorted(features.first_order_features(t).collect())
-    b = sorted(features.first_order_features(bt).collect())
+    a = sorted(features.first_order_features(t).collect(), key=repr)
+    b = sorted(features.first_order_features(bt).collect(), key=repr)
     assert a == b
     # per-order item totals: no exchange on the bucketed items
     assert exchanges(base.order_item_totals(bt.order_items)) == 0
