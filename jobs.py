@@ -1,6 +1,8 @@
 """The analyses as spark-submit jobs.
 
-    spark-submit jobs.py load      CSV_DIR TABLES_DIR    CSV files (one folder or file per table) to typed Parquet
+    spark-submit jobs.py load      CSV_DIR TABLES_DIR    CSV files (one folder or file per table) as a new live version of
+                                                         all eight tables, or none if a row or a constraint is bad
+    spark-submit jobs.py rejects   CSV_DIR OUT_DIR       every bad row of the CSV files, with file, record and column
     spark-submit jobs.py check     TABLES_DIR OUT_DIR    constraint report
     spark-submit jobs.py features  TABLES_DIR OUT_DIR    first-order feature table
     spark-submit jobs.py dashboard TABLES_DIR OUT_DIR    dashboard tables
@@ -15,22 +17,27 @@ from retenta import schemas
 from retenta.operators import quality
 from retenta.plans import publish
 from retenta.session import build_session
-from retenta.sources import csv, sinks
-from retenta.sources.tables import from_parquet_dir
+from retenta.sources import csv, rejects, sinks, versions
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("job", choices=["load", "check", "features", "dashboard", "models"])
+    parser.add_argument("job", choices=["load", "rejects", "check", "features", "dashboard", "models"])
     parser.add_argument("source")
     parser.add_argument("target")
+    parser.add_argument("--allow", action="append", default=[], metavar="KIND:TABLE",
+                        help="load: a constraint that may be broken, e.g. not_null:customers")
     args = parser.parse_args(argv)
     spark = build_session(app=f"retenta-{args.job}")
+    files = {name: f"{args.source.rstrip('/')}/{name}" for name in schemas.SCHEMAS}
     if args.job == "load":
-        files = {name: f"{args.source.rstrip('/')}/{name}" for name in schemas.SCHEMAS}
-        csv.load_tables(csv.read_csv_dir(spark, files), args.target)
+        allowed = frozenset(tuple(pair.split(":", 1)) for pair in args.allow)
+        print(versions.replace_all(csv.read_csv_dir(spark, files), args.target, allowed))
         return
-    tables = from_parquet_dir(spark, args.source)
+    if args.job == "rejects":
+        sinks.write_csv(rejects.all_rejects(spark, files), args.target)
+        return
+    tables = versions.open_tables(spark, args.source)
     if args.job == "check":
         sinks.write_csv(quality.constraint_report(tables), args.target, single_file=True)
     elif args.job == "features":

@@ -163,6 +163,8 @@ QUERIES.update({
     "s1_csv_round_trip_orders": lambda spark, sf_dir: ingest.csv_round_trip(
         spark, _tables(spark, sf_dir), "orders", sf_dir),
     "s5_load_all_tables": lambda spark, sf_dir: ingest.load_round_trip(spark, _tables(spark, sf_dir)),
+    "s5_atomic_load": lambda spark, sf_dir: ingest.atomic_load(spark, _tables(spark, sf_dir)),
+    "s3_rejected_rows": lambda spark, sf_dir: ingest.rejected_order_rows(spark, _tables(spark, sf_dir)),
     "s5_stream_ingest_orders": lambda spark, sf_dir: ingest.stream_round_trip(
         spark, _tables(spark, sf_dir), "orders", sf_dir),
     # top-15 categories (M6/L5) and class weights on the training split
