@@ -7,7 +7,8 @@ import weakref
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ml import metrics, models, prep
+from ..ml import metrics, models, prep, stages
+from ..session import materialize
 from ..sources.tables import Tables
 from .features import first_order_features
 
@@ -29,6 +30,21 @@ def model_frame_long(t: Tables, variant: str = "improved") -> DataFrame:
     return long.filter("value <> 0 or value is null")
 
 
+def train_fitted_long(t: Tables, variant: str = "improved", digits: int = 6) -> DataFrame:
+    """X3 with medians, category list, levels and scales of the training rows alone, in long form: the cells that
+    aren't 0 (customer_unique_id, is_test, feature, value), and for each column, under the id -1, the number of its zeros."""
+    _, enc = stages.fitted(first_order_features(t), variant, fit_on="train", key=prep.lehmer_key("customer_unique_id"))
+    enc = materialize(enc)
+    names = prep.feature_columns(enc.drop("is_test"))
+    value = {c: F.round(F.col("`" + c.replace("`", "``") + "`").cast("double"), digits) for c in names}
+    cells = enc.select("customer_unique_id", F.col("is_test").cast("int").alias("is_test"),
+                       F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), v.alias("value")) for c, v in value.items()])))
+    zeros = enc.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.count_if(v == 0).cast("double").alias("value"))
+                              for c, v in value.items()]).alias("z"))
+    zeros = zeros.select(F.lit(-1).cast("long").alias("customer_unique_id"), F.lit(None).cast("int").alias("is_test"), F.inline("z"))
+    return cells.filter("value <> 0 or value is null").unionByName(zeros)
+
+
 def split_assignment(t: Tables, key: str = "lehmer") -> DataFrame:
     """M9: (customer_unique_id, label, is_test) on the model-ready rows."""
     enc = model_frame(t)

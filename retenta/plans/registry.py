@@ -90,6 +90,7 @@ QUERIES.update({
     "x2_preview": _profile("preview"),
     # model preparation (X3, M1-M8) and split (M9)
     "x3_model_frame": _on_tables(modelling.model_frame_long),
+    "x3_train_fitted_frame": _on_tables(modelling.train_fitted_long),
     "m9_stratified_split": _on_tables(modelling.split_assignment),
     "m10_standardized_frame": _on_tables(modelling.standardized_long),
     # metric operators on a deterministic score over the whole feature table
