@@ -9,7 +9,7 @@ from ..functions.dates import minus_days, year_month_text
 from ..functions.exprs import count_where, money, money_avg, pct
 from ..operators import base
 from ..operators.aggregates import mode_smallest
-from ..operators.cohorts import cohort_activity
+from ..operators.cohorts import calendar, cohort_activity
 from ..params import D3_MIN_CUSTOMERS, D4_COHORT_CUTOFF, D6_JUST_ON_TIME_DAYS
 from ..sources.tables import Tables
 from .kpis import person_revenue
@@ -76,7 +76,7 @@ def repeat_rate_by_category(t: Tables, min_customers: int = D3_MIN_CUSTOMERS,
 
 def cohort_heatmap(t: Tables, cutoff: str = D4_COHORT_CUTOFF) -> DataFrame:
     """Cohort retention from ``cutoff`` on, month as 'YYYY-MM' text and INT month number."""
-    act = cohort_activity(base.person_orders(t))
+    act = cohort_activity(base.person_orders(t), calendar(t.orders))
     act = act.filter(F.col("cohort_month") >= F.lit(cutoff).cast("timestamp_ntz"))
     return (act.select(year_month_text("cohort_month").alias("cohort_month"),
                        F.col("month_number").cast("int").alias("month_number"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import count_where, money_avg, pct, ratio_round
 from ..operators import base
-from ..operators.cohorts import cohort_activity
+from ..operators.cohorts import calendar, cohort_activity
 from ..params import LOW_REVIEW_MAX, Q4_MIN_ORDERS, Q4_TOP_K
 from ..sources.tables import Tables
 
@@ -32,7 +32,7 @@ def cohort_retention(t: Tables) -> DataFrame:
     cohort_month (TIMESTAMP_NTZ), month_number, active_customers, cohort_size,
     retention_pct; months where nobody of the cohort ordered are absent.
     """
-    act = cohort_activity(base.person_orders(t))
+    act = cohort_activity(base.person_orders(t), calendar(t.orders))
     return (act.select(
                 "cohort_month", "month_number", "active_customers", "cohort_size",
                 pct("active_customers", "cohort_size").alias("retention_pct"))
