@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ml import metrics, models, prep, stages
-from ..session import materialize
+from ..session import materialize, scratch_path
+from ..sources import sinks
 from ..sources.tables import Tables
 from .features import first_order_features
 
@@ -102,7 +103,7 @@ def _prepared(t: Tables, variant: str) -> models.Prepared:
 def _fit(t: Tables, kind: str, variant: str, **kw):
     runners = {"logistic": models.run_logistic, "forest": models.run_forest,
                "boosted": models.run_boosted}
-    return _cached(t, (kind, variant, tuple(sorted(kw.items()))),
+    return _cached(t, (kind, variant, repr(sorted(kw.items()))),
                    lambda: runners[kind](_prepared(t, variant), **kw))
 
 
@@ -111,8 +112,40 @@ def logistic_eval(t: Tables, variant: str = "baseline") -> DataFrame:
     return models.evaluate(scored, f"logistic_regression_{variant}")
 
 
-def forest_eval(t: Tables) -> DataFrame:
-    _, scored = _fit(t, "forest", "baseline")
+# Two columns whose Newton steps SQL can solve in closed form.
+NEWTON_PAIR = ["order_value", "review_score"]
+
+
+def newton_coefficients(t: Tables, digits: int = 6) -> DataFrame:
+    """T1 on two standardised columns of the training rows: (feature, coefficient), the intercept included."""
+    model, _ = _fit(t, "logistic", "baseline", features=NEWTON_PAIR)
+    values = [*zip(NEWTON_PAIR, model.held("coefficients")), ("(intercept)", model.held("intercept"))]
+    df = t.orders.sparkSession.createDataFrame(values, "feature string, coefficient double")
+    return df.select("feature", F.round("coefficient", digits).alias("coefficient"))
+
+
+def newton_scores(t: Tables, digits: int = 6) -> DataFrame:
+    """E1 of the same model: every test row's label, P(repeat) and class."""
+    _, scored = _fit(t, "logistic", "baseline", features=NEWTON_PAIR)
+    return scored.select("customer_unique_id", "label", F.round("score", digits).alias("score"), "prediction")
+
+
+def published_gaps(t: Tables, top: int = 12) -> DataFrame:
+    """T6, L6, S13 on a measure that SQL can state: how far the classes' means of each numeric column lie apart, in standard
+    deviations to one decimal (so that some are equal), ranked, written as CSV and read back."""
+    f = model_frame(t)
+    names = [c for c in prep.feature_columns(f) if not c.startswith(tuple(f"{k}_" for k in prep.CATEGORICAL))]
+    mean = lambda c, y: F.avg(F.when(F.col(prep.LABEL) == y, F.col(c).cast("double")))
+    gap = {c: F.round(F.try_divide(F.abs(mean(c, 1) - mean(c, 0)), F.stddev_pop(F.col(c).cast("double"))), 1) for c in names}
+    gaps = f.agg(F.array(*[F.struct(F.lit(c).alias("feature"), g.alias("importance")) for c, g in gap.items()]).alias("g")).select(F.inline("g"))
+    path = scratch_path(f.sparkSession, "importances")
+    sinks.write_importances(models.ranked(gaps, top), path)
+    back = f.sparkSession.read.schema("feature string, importance double").option("header", True).csv(path)
+    return back.select((F.monotonically_increasing_id() + 1).alias("place"), "feature", "importance")    # one file: its lines' order
+
+
+def forest_eval(t: Tables, **kw) -> DataFrame:
+    _, scored = _fit(t, "forest", "baseline", **kw)
     return models.evaluate(scored, "random_forest_baseline")
 
 
@@ -148,16 +181,16 @@ def evaluation_report(t: Tables, gbt_iter: int = 400) -> dict[str, DataFrame]:
     }
 
 
-def baseline_report(t: Tables) -> dict[str, DataFrame]:
+def baseline_report(t: Tables, **forest) -> dict[str, DataFrame]:
     """X4 for the baseline features: logistic regression and random forest on the baseline
     frame, each with metrics, confusion matrix and per-class report, and the forest's importances."""
     p = _prepared(t, "baseline")
     _, lr_scored = _fit(t, "logistic", "baseline")
-    forest, rf_scored = _fit(t, "forest", "baseline")
+    model, rf_scored = _fit(t, "forest", "baseline", **forest)
     scored = {"logistic_regression": lr_scored, "random_forest": rf_scored}
     evaluated = [models.evaluate(s, name) for name, s in scored.items()]
     out = {"metrics": evaluated[0].unionByName(evaluated[1]),
-           "importances": models.importances(t.orders.sparkSession, forest, p.feature_cols)}
+           "importances": models.importances(t.orders.sparkSession, model, p.feature_cols)}
     for name, s in scored.items():
         out[f"confusion_matrix_{name}"] = metrics.confusion_matrix(s)
         out[f"classification_report_{name}"] = metrics.classification_report(s)

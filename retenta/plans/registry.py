@@ -67,16 +67,6 @@ def _scored(fn, **kw):
     return lambda spark, sf_dir: fn(modelling.heuristic_scored(_tables(spark, sf_dir)), **kw)
 
 
-def _stated(report):
-    """Of a metrics frame: the model, the test rows, the random PR-AUC, and whether both metrics are shares."""
-    inside = [F.col(c).between(0, 1) for c in ("roc_auc", "average_precision")]
-    return report.select("model", "n_test", "random_pr_auc", (inside[0] & inside[1]).alias("metrics_in_range"))
-
-
-def _checked(fn, **kw):
-    return lambda spark, sf_dir: _stated(fn(_tables(spark, sf_dir), **kw))
-
-
 def _profile(part):
     return lambda spark, sf_dir: features.feature_profile(
         features.first_order_features(_tables(spark, sf_dir)))[part]
@@ -101,14 +91,16 @@ QUERIES.update({
     "e6_confusion_matrix": _scored(metrics.confusion_matrix),
     "e7_classification_report": _scored(metrics.classification_report),
     "t4_threshold_scenarios": _scored(metrics.threshold_scenarios),
-    # trained models: what SQL can state of them (the solvers' own values are checked by tests)
-    "t1_logistic_regression": _checked(modelling.logistic_eval, variant="baseline"),
-    "t2_random_forest": _checked(modelling.forest_eval),
-    "t3_boosted_trees": _checked(modelling.boosted_eval),
+    # trained models: their metrics; T1 and E1 on two columns, whose Newton steps SQL can take too
+    "t1_logistic_regression": _on_tables(modelling.logistic_eval, variant="baseline"),
+    "t1_newton_coefficients": _on_tables(modelling.newton_coefficients),
+    "e1_newton_scores": _on_tables(modelling.newton_scores),
+    "t2_random_forest": _on_tables(modelling.forest_eval),
+    "t3_boosted_trees": _on_tables(modelling.boosted_eval),
+    "t6_published_gaps": _on_tables(modelling.published_gaps),
     "t6_feature_importance": _on_tables(modelling.forest_importances),
-    "x4_evaluation_report": lambda spark, sf_dir: _stated(_report(spark, sf_dir)["metrics"]),
-    "x4_baseline_report": lambda spark, sf_dir: _stated(
-        modelling.baseline_report(_tables(spark, sf_dir))["metrics"]),
+    "x4_evaluation_report": lambda spark, sf_dir: _report(spark, sf_dir)["metrics"],
+    "x4_baseline_report": lambda spark, sf_dir: modelling.baseline_report(_tables(spark, sf_dir))["metrics"],
     "x3_model_frame_baseline": _on_tables(modelling.model_frame_long, variant="baseline"),
     "d7_threshold_decision_matrix": _scored(lambda s: metrics.decision_matrix(metrics.threshold_scenarios(s))),
 })
