@@ -32,6 +32,11 @@ def first_order_features(t: Tables, method: str = "aggregate") -> DataFrame:
         base.person_orders(t),
         payload=["customer_state", "order_delivered_customer_date", "order_estimated_delivery_date"],
         method=method)
+    return features_of_first_orders(t, fo)
+
+
+def features_of_first_orders(t: Tables, fo: DataFrame) -> DataFrame:
+    """X1 for given first orders (person, order_id, time, payload, total_orders)."""
     # built-in mode (partial aggregation with a small value->count map per order); measured
     # faster here than the two-level ``grouped_mode``, which needs two more exchanges
     items = base.categorised_items(t).groupBy("order_id").agg(

@@ -20,7 +20,7 @@ from ..operators.order_stats import medians
 from ..params import RECALL_TARGETS, SEED, TEST_FRACTION
 from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import load_fixture_tables
-from . import dashboards, features, ingest, kpis, modelling
+from . import dashboards, features, incremental, ingest, kpis, modelling
 
 D3_MIN_CUSTOMERS_FIXTURE = 100
 D4_CUTOFF_FIXTURE = "1996-01-01"
@@ -60,6 +60,7 @@ QUERIES = {
     "d5_monthly_trend": _on_tables(dashboards.monthly_trend),
     "d6_delivery_vs_repeat": _on_tables(dashboards.delivery_vs_repeat),
     "x1_first_order_features": _on_tables(features.first_order_features),
+    "x1_features_in_batches": _on_tables(incremental.in_two_batches),
 }
 
 
