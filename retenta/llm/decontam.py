@@ -14,6 +14,12 @@ Whether a word is a name depends on its case and on the stop before it, which co
 read two more ways, in which names are lower-case literals, and in which capitalised words at the start of a
 sentence are names, and an item's window is held if any reading of it is. The first reading decides where it
 finds an item; the others serve the texts in which it finds none.
+
+Templates cost far more than words, so texts are first probed with pairs of neighbouring words. Words of an item that have
+no capitals are the same literals in every reading. For each item so many such pairs are taken, those of the longest
+words first, that the windows which hold one are more than an item can lack: whatever text holds
+0.8 of its windows holds one of these pairs, and texts without any are clean. Where an item
+has too few such pairs, no text is passed over.
 """
 
 from __future__ import annotations
@@ -127,14 +133,56 @@ def _items(benchmark: DataFrame) -> DataFrame:
         F.array_contains("places", F.col("pos")).alias("counts"))
 
 
+def probes(benchmark: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """item, pairs (hashes of neighbouring words, one of which every text that holds the item has), enough (whether they suffice)."""
+    places = items.groupBy("item").agg(F.collect_set(F.when(F.col("counts"), F.col("ipos"))).alias("places"), F.max("total").alias("total"))
+    read = benchmark.filter("text is not null").select("text").distinct().select(F.xxhash64("text").alias("item"), tokens(F.col("text")).alias("words"))
+    read = read.withColumn("plain", F.transform("words", bare)).withColumn("t", template("words", "plain")).join(places, "item")
+
+    def steady(i: Column) -> Column:
+        w = F.col("plain")[i]
+        return (F.col("t")[i] == w) & (w == F.lower(w)) & w.rlike(r"^[\p{Ll}\p{Lo}\p{N}]+$") & ~w.rlike("[σς]")
+
+    def weight(i: Column) -> Column:
+        return -(F.length(F.col("plain")[i]) + F.length(F.col("plain")[i + 1]))
+
+    both = F.filter(F.sequence(F.lit(0), F.size("plain") - 2), lambda i: steady(i) & steady(i + 1))
+    ranked = F.array_sort(F.transform(both, lambda i: F.struct(weight(i).alias("weight"), i.alias("i"))))
+    # fewer windows than this can be missing from a text that holds the item
+    need = F.col("total") - F.ceil(F.col("total") * similarity - F.lit(1e-9)) + 1
+    none = F.expr("cast(array() as array<int>)")
+
+    def take(state: Column, pair: Column) -> Column:
+        more = F.array_union(state["covered"], F.array_intersect(F.col("places"), F.sequence(pair["i"] - (WINDOW - 2), pair["i"])))
+        useful = (F.size(state["covered"]) < need) & (F.size(more) > F.size(state["covered"]))
+        return F.when(useful, F.struct(more.alias("covered"), F.concat(state["used"], F.array(pair["i"])).alias("used"))).otherwise(state)
+
+    chosen = F.aggregate(ranked, F.struct(none.alias("covered"), none.alias("used")), take)
+    picked = read.select("item", "plain", need.alias("need"), chosen.alias("c"))
+    return picked.select("item", F.transform("c.used", lambda i: F.xxhash64(F.col("plain")[i], F.col("plain")[i + 1])).alias("pairs"),
+                         (F.size("c.covered") >= F.col("need")).alias("enough"))
+
+
+def candidates(docs: DataFrame, benchmark: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """__k1, __k2, text of the distinct texts that may hold an item."""
+    named = docs.filter("text is not null").select(*text_keys(F.col("text")), "text")
+    chosen = written(probes(benchmark, items, similarity), "benchmark-probes")
+    if chosen.filter("not enough").limit(1).count():
+        return named
+    pairs = written(chosen.select(F.explode("pairs").alias("h")).distinct(), "benchmark-pairs")
+    words = named.withColumn("words", F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    near = words.select("__k1", "__k2", "text", F.explode(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))).alias("h"))
+    return near.join(broadcast_if_small(pairs, 16), "h", "left_semi").groupBy("__k1", "__k2").agg(F.first("text").alias("text"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """__k1, __k2 (names of a text), item_id, share: the contained item of highest share (ties: smallest id) of each text that has one.
 
     Items found in the first reading go before those that take the others to be found.
     """
     items = written(_items(benchmark), "benchmark-windows")
-    found = windows(docs.select(*text_keys(F.col("text")), "text"), "__k1", "__k2").join(
-        broadcast_if_small(items, 200), "h")
+    texts = written(candidates(docs, benchmark, items, similarity), "candidates")
+    found = windows(texts, "__k1", "__k2").join(broadcast_if_small(items, 400), "h")
     # What the window binds: slots only. Equal texts repeat their windows; sets keep one of each.
     bound = F.filter(F.transform("iv", lambda x, j: F.when(~F.col("literal")[j], F.struct(
         x.alias("item"), F.col("v")[j].alias("doc")))), lambda x: x.isNotNull())

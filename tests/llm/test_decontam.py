@@ -92,3 +92,69 @@ def test_names_that_start_sentences_may_change(spark):
     mixed = other.replace("Maria then", "Olga then")            # one name for two: that sentence's windows only bind otherwise
     assert run(spark, [item], ["Well then " + other + " Yes.", other, "It says: " + other, mixed]) == [
         (0, True, 1), (1, True, 1), (2, True, 1), (3, False, None)]
+
+
+def altered(text, how):
+    """A copy as the readings are for: other case, no stops, other numbers and names."""
+    words = {"lower": str.lower, "upper": str.upper, "stops": lambda t: re.sub("[.!?,]", "", t),
+             "numbers": lambda t: re.sub(r"\d+", lambda m: str(int(m[0]) + 7), t),
+             "names": lambda t: re.sub(r"(?<=[a-z,] )[A-Z][a-z]+", lambda m: "Q" + m[0].lower(), t)}
+    return words[how](text)
+
+
+def test_probing_passes_over_no_text_that_holds_an_item(spark, monkeypatch):
+    """The same rows with and without the word pairs, over all readings, on whole tables with altered copies among them."""
+    sf = "/root/testdata/sf0.001"
+    items = table(spark, sf, "benchmark")
+    texts = [r["text"] for r in items.orderBy("item_id").limit(40).collect()]
+    kinds = ["lower", "upper", "stops", "numbers", "names"]
+    made = [(10_000 + 5 * i + j, f"Intro words {t and altered(t, k)} and more") for i, t in enumerate(texts) for j, k in enumerate(kinds)]
+    # copies that lack a word in eight hold less than 0.8 of the windows; others lack one word
+    made += [(20_000 + i, " ".join(w for j, w in enumerate(t.split()) if j % 8)) for i, t in enumerate(texts)]
+    made += [(30_000 + i, " ".join(w for j, w in enumerate(t.split()) if j != 9)) for i, t in enumerate(texts)]
+    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    probed = rows(decontam.decontaminate(docs, items), "doc_id", "contaminated", "item_id", "share")
+    seen = decontam.candidates(docs, items, decontam.written(decontam._items(items), "items"))
+    assert seen.count() < docs.select("text").distinct().count()
+    monkeypatch.setattr(decontam, "candidates", lambda docs, *_: docs.select(*decontam.text_keys(F.col("text")), "text"))
+    assert probed == rows(decontam.decontaminate(docs, items), "doc_id", "contaminated", "item_id", "share")
+    assert sum(c for i, c, *_ in probed if i >= 10_000) > 100
+
+
+def test_items_without_pairs_leave_every_text_in(spark):
+    names = "Alice Bob Carol Dan Eve Frank"
+    items = bench(spark, ITEM, names)
+    docs = spark.createDataFrame([(1, "nothing of that kind is in here"), (2, "well " + names.lower() + " they said")], "doc_id long, text string")
+    assert decontam.candidates(docs, items, decontam.written(decontam._items(items), "items")).count() == 2
+    assert rows(decontam.decontaminate(docs, items), "doc_id", "contaminated", "item_id") == [(1, False, None), (2, True, 2)]
+
+
+def held(item, text):
+    """Reading by reading in plain Python: the largest share of an item's windows that a text holds, for items without
+    slots that conflict. Names are capitalised words (reading a: not at the start of a sentence, c: anywhere), literals in b."""
+    def read(t, kind):
+        out, before = [], "."
+        for w in re.findall(r"[^\W_][\w.!?]*", t):
+            plain = w.rstrip(".!?")
+            name = plain != plain.lower() and plain != plain.upper() and (kind == "c" or kind == "a" and before[-1] not in ".!?")
+            unit = plain.lower() in decontam.UNITS and before[0].isdigit()
+            out.append("#" if plain[0].isdigit() else "%" if unit else "@" if name else plain.lower())
+            before = w
+        return out
+
+    grams = lambda t, kind: [tuple(g) for g in zip(*[read(t, kind)[i:] for i in range(5)])]
+    there = {g for kind in "abc" for g in grams(text, kind)}
+    counted = [i for i, g in enumerate(grams(item, "a")) if sum(x not in "#@%" for x in g) >= 2]
+    hit = {i for kind in "abc" for i, g in enumerate(grams(item, kind)) if g in there}
+    return len(hit & set(counted)) / max(1, len(counted))
+
+
+def test_all_readings_against_plain_python(spark):
+    """Texts that hold one altered copy each: found where plain Python counts 0.8 of the windows, and only there."""
+    items = table(spark, "/root/testdata/sf0.001", "benchmark").orderBy("item_id").limit(25)
+    texts = [(r["item_id"], r["text"]) for r in items.collect()]
+    made = [(100 * i + j, altered(t, k)) for i, (_, t) in enumerate(texts) for j, k in enumerate(["lower", "upper", "stops", "numbers"])]
+    made += [(100 * i + 50 + cut, " ".join(t.split()[cut:])) for i, (_, t) in enumerate(texts) for cut in (2, 5, 9)]
+    got = rows(decontam.decontaminate(spark.createDataFrame(made, "doc_id long, text string"), items), "doc_id", "contaminated")
+    want = sorted((d, any(held(t, x) >= 0.8 for _, t in texts)) for d, x in made)
+    assert got == want and {c for _, c in want} == {True, False}
