@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_where, money_avg, pct, ratio_round
 from ..operators import base
 from ..operators.cohorts import calendar, cohort_activity
-from ..params import LOW_REVIEW_MAX, Q4_MIN_ORDERS, Q4_TOP_K
+from ..params import EXCLUDED_STATUSES, LOW_REVIEW_MAX, Q4_MIN_ORDERS, Q4_TOP_K
+from ..sources import statements
 from ..sources.tables import Tables
 
 PERSON = base.PERSON
@@ -105,3 +108,9 @@ def category_dissatisfaction(t: Tables, min_orders: int = Q4_MIN_ORDERS,
                     pct("n_low", "n_scores").alias("pct_low_reviews")))
     return out.orderBy(F.col("pct_low_reviews").desc_nulls_first(),
                        F.col("category").asc_nulls_last()).limit(top_k)
+
+
+def from_text(t: Tables, min_orders: int = Q4_MIN_ORDERS, top_k: int = Q4_TOP_K, low_max: int = LOW_REVIEW_MAX) -> dict[str, DataFrame]:
+    """Q1-Q4 as the query texts of ``sql/kpis.sql`` state them, with the parameters bound."""
+    text = (Path(__file__).parent / "sql" / "kpis.sql").read_text()
+    return statements.run(t, text, {"excluded": list(EXCLUDED_STATUSES), "min_orders": min_orders, "top_k": top_k, "low_score": low_max})

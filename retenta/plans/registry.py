@@ -64,6 +64,10 @@ QUERIES = {
 }
 
 
+QUERIES.update({f"s10_{name}": (lambda spark, sf_dir, name=name: kpis.from_text(_tables(spark, sf_dir))[name])
+                for name in ("repeat_purchase_rate", "cohort_retention", "customer_lifetime_value", "category_dissatisfaction")})
+
+
 def _scored(fn, **kw):
     return lambda spark, sf_dir: fn(modelling.heuristic_scored(_tables(spark, sf_dir)), **kw)
 
