@@ -121,9 +121,10 @@ SELECT d.doc_id, b.share IS NOT NULL AS contaminated, b.item_id, b.share
 FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id AND b.n = 1""",
     "op4_mix": f"""
 WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+t AS (SELECT *, sqrt(n) AS w, sum(sqrt(n)) OVER () AS total, least({mixing.PERIOD}.0, {mixing.WORK}.0 / count(*) OVER ()) AS most FROM n),
 w AS (SELECT row_number() OVER (ORDER BY source NULLS FIRST) AS s, source, n,
-             CAST(greatest(1, floor(sqrt(n) / sum(sqrt(n)) OVER () * {mixing.PERIOD} + 0.5)) AS BIGINT) AS a FROM n),
-src AS (SELECT list(a ORDER BY s) AS a, list(n ORDER BY s) AS n, CAST(sum(a) AS BIGINT) AS q FROM w),
+             CAST(greatest(1, floor(w * CASE WHEN total > most THEN most / total ELSE 1 END + 0.5)) AS BIGINT) AS a FROM t),
+src AS (SELECT list(a ORDER BY s) AS a, CAST(sum(a) AS BIGINT) AS q FROM w),
 edf(t, had, pick) AS (
   SELECT CAST(-1 AS BIGINT), list_transform((SELECT a FROM src), lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT)
   UNION ALL
@@ -132,16 +133,16 @@ edf(t, had, pick) AS (
              lambda i: (had[i] + CASE WHEN i = pick THEN 1 ELSE 0 END) * q // a[i] <= t + 1),
            lambda i: ((had[i] + CASE WHEN i = pick THEN 1 ELSE 0 END + 1) * q + a[i] - 1) // a[i] * 100000 + i)) % 100000
   FROM edf, src WHERE t + 1 < q),
-period AS (SELECT t AS r, pick AS s, had[pick] AS k, had FROM edf WHERE t >= 0),
-ranked AS (SELECT d.doc_id, d.source, w.s, w.a, row_number() OVER (PARTITION BY w.s ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id) - 1 AS nth
+period AS (SELECT t AS r, pick AS s, had[pick] AS k FROM edf WHERE t >= 0),
+ranked AS (SELECT d.doc_id, d.source, w.s, w.a,
+                  row_number() OVER (PARTITION BY w.s ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id) - 1 AS nth
            FROM documents d JOIN w ON d.source IS NOT DISTINCT FROM w.source),
-blocks AS (SELECT *, nth // {mixing.BLOCK_ROWS} AS block FROM ranked)
-SELECT b.doc_id, b.source, CAST(b.block AS BIGINT) AS block, CAST(b.block // b.a * q + p.r AS BIGINT) AS slot,
-       CAST(b.block * q // b.a AS BIGINT) AS release, CAST(((b.block + 1) * q + b.a - 1) // b.a AS BIGINT) AS deadline,
-       CAST(list_sum(list_transform(range(1, len(src.a) + 1),
-            lambda i: least(src.n[i], (b.block // b.a * src.a[i] + p.had[i]) * {mixing.BLOCK_ROWS})))
-            + b.nth % {mixing.BLOCK_ROWS} AS BIGINT) AS position
-FROM blocks b JOIN period p ON b.s = p.s AND b.block % b.a = p.k, src""",
+blocks AS (SELECT *, nth // {mixing.BLOCK_ROWS} AS block FROM ranked),
+placed AS (SELECT b.*, b.block // b.a * q + p.r AS slot, q FROM blocks b JOIN period p ON b.s = p.s AND b.block % b.a = p.k, src)
+SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(slot AS BIGINT) AS slot, CAST(block * q // a AS BIGINT) AS release,
+       CAST(((block + 1) * q + a - 1) // a AS BIGINT) AS deadline,
+       row_number() OVER (ORDER BY slot, nth) - 1 AS position
+FROM placed""",
     "op10_warc": f"""
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, max(page_id) AS m FROM p WHERE n >= {warc.MIN_REVISIT} GROUP BY d)
