@@ -71,8 +71,8 @@ def test_slots_of_a_shard_follow_the_mixed_order(spark, tmp_path, through_files)
     if through_files:
         mixed.write.parquet(str(tmp_path / "mixed"))
         mixed = spark.read.parquet(str(tmp_path / "mixed"))
-    weights = {s: n ** 0.5 for s, n in sizes.items()}
-    a, q, slots = brute(sizes, weights, mixing.PERIOD, mixing.BLOCK_ROWS)
+    a = {s: int(n ** 0.5 + 0.5) for s, n in sizes.items()}
+    q, slots = brute(sizes, a, mixing.BLOCK_ROWS)
     own = {s: sorted((i for i, x, _ in data if x == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for s in sizes}
     order = [i for _, (s, k) in sorted(slots.items()) for i in own[s][k * mixing.BLOCK_ROWS:(k + 1) * mixing.BLOCK_ROWS]]
     got = corpus_pipeline.shard(spark, mixed, SF).select("doc_id", "shard", "slot").collect()
