@@ -1,7 +1,7 @@
 """The analyses as spark-submit jobs.
 
     spark-submit jobs.py load      CSV_DIR TABLES_DIR    CSV files (one folder or file per table) as a new live version of
-                                                         all eight tables, or none if a row or a constraint is bad
+                                                         all eight tables, or none if a row is bad (with --strict: or a constraint)
     spark-submit jobs.py rejects   CSV_DIR OUT_DIR       every bad row of the CSV files, with file, record and column
     spark-submit jobs.py check     TABLES_DIR OUT_DIR    constraint report
     spark-submit jobs.py features  TABLES_DIR OUT_DIR    first-order feature table
@@ -25,14 +25,15 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("job", choices=["load", "rejects", "check", "features", "dashboard", "models"])
     parser.add_argument("source")
     parser.add_argument("target")
+    parser.add_argument("--strict", action="store_true", help="load: broken constraints reject the load")
     parser.add_argument("--allow", action="append", default=[], metavar="KIND:TABLE",
-                        help="load: a constraint that may be broken, e.g. not_null:customers")
+                        help="load --strict: a constraint that may be broken, e.g. not_null:customers")
     args = parser.parse_args(argv)
     spark = build_session(app=f"retenta-{args.job}")
     files = {name: f"{args.source.rstrip('/')}/{name}" for name in schemas.SCHEMAS}
     if args.job == "load":
         allowed = frozenset(tuple(pair.split(":", 1)) for pair in args.allow)
-        print(versions.replace_all(csv.read_csv_dir(spark, files), args.target, allowed))
+        print(versions.replace_all(csv.read_csv_dir(spark, files), args.target, allowed, check=args.strict))
         return
     if args.job == "rejects":
         sinks.write_csv(rejects.all_rejects(spark, files), args.target)

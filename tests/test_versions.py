@@ -97,7 +97,7 @@ def test_job_loads_checks_and_lists_rejects(spark, tmp_path):
     for name, df in t.as_dict().items():
         sinks.write_csv(df, str(tmp_path / "csv" / name))
     allow = [x for kind, table in BROKEN_BY_DESIGN for x in ("--allow", f"{kind}:{table}")]
-    jobs.main(["load", str(tmp_path / "csv"), str(tmp_path / "store"), *allow])
+    jobs.main(["load", str(tmp_path / "csv"), str(tmp_path / "store"), "--strict", *allow])
     assert contents(versions.live(spark, str(tmp_path / "store"))) == contents(t)
     jobs.main(["rejects", str(tmp_path / "csv"), str(tmp_path / "rejects")])
     assert spark.read.option("header", True).csv(str(tmp_path / "rejects")).count() == 0
