@@ -12,7 +12,8 @@ segments are one class with a count. The segments of a core are sorted in one
 suffix array: suffixes smaller than their successors directly, all others
 induced from them by bucket scans; neighbours with a common prefix of WIDTH
 bytes are repeats. A core of one class needs no sorting. A core of very many
-classes is dealt again by parts and single starts, so no group is unbounded.
+classes is dealt again by parts with longer cores of their own, until each is small
+enough to be sorted or is a single start, so no group is unbounded.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ GRAM = 64
 STEP = 200
 CUTS = (50, 10, 2, 1)   # starts of a part of a crowded core, cut after cut
 CHUNK = 1 << 19         # bytes of text looked at together
+PIECE = 1 << 16         # starts of a piece of text from which segments are read
 CROWD = 256             # classes of a core beyond which it is dealt again
 BATCH = 1 << 16         # bytes of segments sorted together
 BASE = 0x9E3779B97F4A7C15
@@ -174,7 +176,8 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
-def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, step: int = STEP, crowd: int = CROWD):
+def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, step: int = STEP, crowd: int = CROWD,
+             chunk: int = CHUNK, piece: int = PIECE):
     """The table of distinct texts and, by __k1 and __k2, the byte ranges to remove (lo, hi exclusive; they may overlap)."""
     texts, _ = distinct_texts(docs)
 
@@ -190,10 +193,10 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, step: int =
                 at = np.array([h[1] for h in held], np.int64)[piece]
                 return pd.DataFrame(dict(zip(names, [k[row] for k in keys] + [lo + at, hi + at, core, segment, off])))
 
-            for part in _cut(pdf["text"], width, CHUNK):
+            for part in _cut(pdf["text"], width, chunk):
                 held.append(part)
                 size += len(part[2])
-                if size >= CHUNK:
+                if size >= chunk:
                     yield flush()
                     held, size = [], 0
             if held:
@@ -210,11 +213,34 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, step: int =
     classes = mixed.groupBy("core", "segment").agg(
         F.min(F.struct("__k1", "__k2", "lo", "hi", "off")).alias("at"), F.sum("n").alias("n"))
     crowds = classes.groupBy("core").agg(F.count("*").alias("classes"))
-    shown = classes.join(crowds, "core").select("core", "segment", "n", "classes", "at.*").join(
-        texts.select("__k1", "__k2", "text"), ["__k1", "__k2"])
-    shown = written(shown.select("core", "segment", "n", "classes", "off", F.substring(
-        F.col("text").cast("binary"), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + width).cast("int")).alias("bytes")), "segments")
+    shown = classes.join(crowds, "core").select("core", "segment", "n", "classes", "at.*")
+    shown = written(_segments(shown, texts, width, step, piece), "segments")
+    few = _sorted(shown.filter(F.col("classes") <= crowd).select("core", "segment", "bytes", "n"), width)
+    many = _crowded(shown.filter(F.col("classes") > crowd).select("core", "segment", "n", "off", "bytes"), width, crowd)
+    resolved = mixed.join(few.unionByName(many), ["core", "segment"]).select(
+        "__k1", "__k2", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b") + width).alias("hi"))
+    return texts, whole.unionByName(resolved)
+
+
+def _segments(classes: DataFrame, texts: DataFrame, width: int, step: int, piece: int) -> DataFrame:
+    """``classes`` with the bytes of their segments, read from pieces of the texts: no class copies a whole long text.
 
+    Pieces overlap by what a segment reads beyond its first start. Their place is a range
+    condition and no join key, so that the bucketed texts aren't shuffled again.
+    """
+    size = F.octet_length("text")
+    cut = (texts.filter(size >= width).select("__k1", "__k2", F.col("text").cast("binary").alias("data"), F.explode(
+        F.sequence(F.lit(0), F.floor((size - width) / piece).cast("int"))).alias("nth"))
+        .select("__k1", "__k2", (F.col("nth") * F.lit(piece).cast("long")).alias("since"),
+                F.substring("data", F.col("nth") * piece + 1, F.lit(piece + step + width)).alias("part")))
+    inside = (F.col("lo") >= F.col("since")) & (F.col("lo") < F.col("since") + piece)
+    both = classes.alias("c").join(cut.alias("p"), (F.col("c.__k1") == F.col("p.__k1")) & (F.col("c.__k2") == F.col("p.__k2")) & inside)
+    return both.select("core", "segment", "n", "classes", "off", F.substring(
+        F.col("part"), (F.col("lo") - F.col("since") + 1).cast("int"), (F.col("hi") - F.col("lo") + width).cast("int")).alias("bytes"))
+
+
+def _sorted(classes: DataFrame, width: int) -> DataFrame:
+    """(core, segment, a, b): ranges of repeated starts, from a suffix array of each core's classes (core, segment, bytes, n)."""
     def sort(batches):
         held, size, core = [], 0, None
 
@@ -241,21 +267,17 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, step: int =
         if held:
             yield flush()
 
-    few = (shown.filter(F.col("classes") <= crowd).drop("classes").repartition("core").sortWithinPartitions("core", "segment")
-           .select("core", "segment", "bytes", "n").mapInPandas(sort, "core long, segment long, a long, b long"))
-    many = _crowded(shown.filter(F.col("classes") > crowd).select("core", "segment", "n", "off", "bytes"), width)
-    resolved = mixed.join(few.unionByName(many), ["core", "segment"]).select(
-        "__k1", "__k2", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b") + width).alias("hi"))
-    return texts, whole.unionByName(resolved)
+    return (classes.repartition("core").sortWithinPartitions("core", "segment")
+            .select("core", "segment", "bytes", "n").mapInPandas(sort, "core long, segment long, a long, b long"))
 
 
-def _crowded(shown: DataFrame, width: int, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+def _crowded(shown: DataFrame, width: int, crowd: int, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """(core, segment, a, b): ranges of repeated starts of segments whose cores have very many classes.
 
     Spans are cut again and again, into parts of ever fewer starts at fixed places, with
-    longer cores of their own. Where all parts of such a core are alike, all their starts
-    repeat; the others are cut further. A part of one start is its own core. Groups are
-    only counted, never gathered.
+    longer cores of their own. Equal parts are one class. Where a part's core has one class, all
+    its starts repeat; up to ``crowd`` classes are sorted like any core's; the others are cut further. A part
+    of one start is its own core.
     """
     rows = shown.select("core", "segment", "n", "off", F.lit(0).cast("long").alias("lead"), "bytes")
     found = None
@@ -265,17 +287,24 @@ def _crowded(shown: DataFrame, width: int, cuts: tuple[int, ...] = CUTS) -> Data
         parts = rows.select("*", F.explode(F.sequence(
             F.floor(F.col("off") / fine), F.floor((F.col("off") + last) / fine))).alias("part"))
         parts = parts.select("*", F.greatest(begin, F.lit(0)).cast("int").alias("a"), F.least(begin + fine - 1, last).cast("int").alias("b"),
-                             F.xxhash64(F.substring("bytes", (begin + fine).cast("int"), F.lit(width - fine + 1))).alias("inner"))
+                             F.xxhash64("core", "part", F.substring("bytes", (begin + fine).cast("int"), F.lit(width - fine + 1))).alias("inner"))
         parts = parts.select(
-            "core", "segment", "n", "part", "inner", (F.col("off") + F.col("a")).alias("off"), (F.col("lead") + F.col("a")).alias("lead"),
-            F.substring("bytes", F.col("a") + 1, F.col("b") - F.col("a") + width).alias("bytes")).withColumn("own", F.xxhash64("bytes"))
-        group = ["core", "part", "inner"]
-        often = parts.groupBy(*group).agg(F.sum("n").alias("times"), F.min("own").alias("s0"), F.max("own").alias("s1")).filter(
-            "times > 1").select(*group, (F.col("s0") == F.col("s1")).alias("alike"))
-        marked = written(parts.join(often, group), "crowded-parts")
-        whole = marked.filter("alike").select("core", "segment", F.col("lead").alias("a"), (F.col("lead") + last).cast("long").alias("b"))
-        found = whole if found is None else found.unionByName(whole)
-        rows = marked.filter("not alike").select("core", "segment", "n", "off", "lead", "bytes")
+            "core", "segment", "n", "inner", (F.col("off") + F.col("a")).alias("off"), (F.col("lead") + F.col("a")).alias("lead"),
+            F.substring("bytes", F.col("a") + 1, F.col("b") - F.col("a") + width).alias("bytes"))
+        parts = written(parts.withColumn("own", F.xxhash64("off", "bytes")), "crowded-parts")
+        classes = parts.groupBy("inner", "own").agg(F.sum("n").alias("n"), F.min("bytes").alias("bytes"))
+        often = written(classes.groupBy("inner").agg(F.sum("n").alias("times"), F.count("*").alias("classes")).filter(
+            "times > 1").select("inner", "classes"), "crowded-cores")
+        marked = parts.join(often, "inner")
+        whole = marked.filter("classes = 1").select("core", "segment", F.col("lead").alias("a"), (F.col("lead") + last).cast("long").alias("b"))
+        some = classes.join(often.filter((F.col("classes") > 1) & (F.col("classes") <= crowd)), "inner")
+        repeated = _sorted(some.select(F.col("inner").alias("core"), F.col("own").alias("segment"), "bytes", "n"), width)
+        repeated = repeated.select(F.col("core").alias("inner"), F.col("segment").alias("own"), "a", "b")
+        sorted_ = parts.select("core", "segment", "lead", "inner", "own").join(repeated, ["inner", "own"]).select(
+            "core", "segment", (F.col("lead") + F.col("a")).alias("a"), (F.col("lead") + F.col("b")).alias("b"))
+        here = whole.unionByName(sorted_)
+        found = here if found is None else found.unionByName(here)
+        rows = marked.filter(F.col("classes") > crowd).select("core", "segment", "n", "off", "lead", "bytes")
     return found
 
 
@@ -300,7 +329,8 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Each byte covered by a ``width``-byte string that also starts anywhere else goes;
     strings are judged on the input and never cross documents. A null text is empty;
-    texts under ``width`` bytes keep all. Repeated rows repeat each other. Null ids are
+    texts under ``width`` bytes keep all. Repeated rows repeat each other. Long texts are looked at in
+    overlapping parts. A text of one sign throughout has an anchor, so a span, at every start; it takes a row a byte. Null ids are
     kept; other columns are ignored.
     """
     texts, ranges = removals(docs, width)

@@ -37,7 +37,7 @@ def test_repeats_of_segments():
 
 @pytest.mark.parametrize("crowd", [256, 2])
 def test_removals_match_brute_force(spark, docs, crowd, monkeypatch):
-    monkeypatch.setattr(suffixdedup.removals, "__defaults__", (400, 64, 200, crowd))
+    monkeypatch.setattr(suffixdedup.removals, "__defaults__", (400, 64, 200, crowd, 1 << 19, 1 << 16))
     rng = random.Random(8)
     shared = "".join(rng.choice("abc é\n") for _ in range(1500))
     extra = [(200 + i, "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 200)))
@@ -50,6 +50,53 @@ def test_removals_match_brute_force(spark, docs, crowd, monkeypatch):
     assert got == brute(data, 400)
 
 
+@pytest.mark.parametrize("chunk,piece", [(700, 300), (1 << 19, 1 << 16)])
+def test_texts_of_many_chunks_match_brute_force(spark, chunk, piece, monkeypatch):
+    monkeypatch.setattr(suffixdedup.removals, "__defaults__", (400, 64, 200, 256, chunk, piece))
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    passage, long = make(900), make(9000)
+    near = [list(passage) for _ in range(12)]
+    for i, t in enumerate(near):
+        t[(i * 71) % 900] = "!"
+    data = [(1, long), (2, long[2000:3100] + passage), (3, make(1500) + long[8000:] + passage + make(50)), (4, long), (5, make(3000)),
+            (6, "a" * 1300), *((10 + i, make(20) + "".join(t)) for i, t in enumerate(near))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = rows(suffixdedup.deduplicate(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute([(d, t.encode()) for d, t in data], 400)
+
+
+def test_crowded_cores_of_near_copies(spark):
+    # Copies of one passage with a changed sign each, cut at many places: crowded at every cut, and clipped differently.
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(640))
+    data = []
+    for i in range(60):
+        t = list(base)
+        t[rng.choice((3, 100, 180, 440, 500, 630))] = rng.choice("XYZ")
+        data.append((i, "".join(t)[rng.randint(0, 90):rng.randint(560, 640)]))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute([(d, t.encode()) for d, t in data], 400)
+    for crowd in (1, 4, 256):
+        texts, ranges = suffixdedup.removals(docs, crowd=crowd)
+        by = {}
+        for r in ranges.collect():
+            by.setdefault((r["__k1"], r["__k2"]), []).append((r["lo"], r["hi"]))
+        got = {r["text"]: suffixdedup.kept_bytes(r["text"], by.get((r["__k1"], r["__k2"]), []))[1:] for r in texts.collect()}
+        assert [got[t] for _, t in data] == [w[2:4] for w in want]
+
+
+def test_planted_passages_all_go_and_clean_texts_stay(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages = [say(90) for _ in range(10)]
+    data = [(i, f"{say(60)} {passages[i % 10]} {say(60)}") for i in range(60)] + [(100 + i, say(200)) for i in range(40)]
+    got = {r["doc_id"]: r["n_removed"] for r in suffixdedup.deduplicate(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(len(passages[d % 10]) <= got[d] <= len(passages[d % 10]) + 4 for d in range(60))       # recall 1.0
+    assert all(got[100 + i] == 0 for i in range(40))
+
+
 def test_long_texts_are_cut_without_loss():
     pieces = list(suffixdedup._cut(["abcdefghij"], 4, 3))
     assert [(at, p) for _, at, p in pieces] == [(0, b"abcdef"), (3, b"defghi"), (6, b"ghij")]
