@@ -63,17 +63,18 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, block: int = BLO
     """query_id, rank, vec_id, score: each query's ``k`` highest integer inner products, ties to smaller vec_id.
 
     ``vectors`` has vec_id and embedding. Queries: rows whose vec_id is divisible by
-    ``query_step``; candidates: all rows whose vec_id is not the query's. A repeated vec_id counts once,
-    with its greatest vector. Vectors null, or with null or non-finite components, take no part, nor do
+    ``query_step``; candidates: every row but the query's own. Rows that repeat a vec_id, or a whole row, count one by
+    one: each is a query with ranks of its own, and a candidate of the others. Vectors null, or with null or non-finite components, take no part, nor do
     null ids; shorter vectors count as padded with zeros; scores beyond a long are cut to its range.
     Other columns are ignored. Empty input, empty result.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors).groupBy("id").agg(F.max("v").alias("v"))
-    rows = written(rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), "vectors")
+    # Written once, so that a row keeps its number whatever is computed again.
+    rows = written(usable(vectors).select("*", F.monotonically_increasing_id().alias("row"), F.sqrt(
+        F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")), "vectors")
     width = rows.agg(F.max(F.size("v"))).first()[0] or 1
     shared = spark.sparkContext.broadcast(_basis(rows, width))               # width x width numbers
-    schema = "block long, top double, ids binary, vs binary"
+    schema = "block long, top double, rows binary, ids binary, vs binary"
 
     def pack(size):
         def run(batches):
@@ -82,38 +83,40 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, block: int = BLO
                 for i in range(0, len(pdf), size):
                     part = pdf.iloc[i:i + size]
                     yield pd.DataFrame({"block": [n], "top": [float(part["norm"].max())],
+                                        "rows": [part["row"].to_numpy(np.int64).tobytes()],
                                         "ids": [part["id"].to_numpy(np.int64).tobytes()],
                                         "vs": [_matrix(part["v"], width).tobytes()]})
                     n += 1
         return run
 
-    # Descending length; ids part the ties, so that equal vectors spread over blocks.
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id")
+    # Descending length; ids and row numbers part the ties, so that equal vectors spread over blocks.
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), F.desc("norm"), "id", "row").sortWithinPartitions(
+        F.desc("norm"), "id", "row")
     candidates = written(ordered.mapInPandas(pack(block), schema), "candidate-blocks")
     asked = rows.filter(F.col("id") % query_step == 0)
     # The lead, one block of the longest vectors, gives every query its first threshold.
-    first = candidates.orderBy(F.desc("top"), "block").limit(1).select("ids", "vs").first()
+    first = candidates.orderBy(F.desc("top"), "block").limit(1).select("rows", "ids", "vs").first()
     if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     lead = spark.sparkContext.broadcast(tuple(first))                        # one block
     blind = _ask(asked.withColumn("floor", F.lit(float("-inf"))), queries, width)
-    scores = blind.select("qids", "qvs", "floors").mapInPandas(_scan(shared, width, k, leading, lead), SCORES)
-    floors = scores.filter(F.col("nth") == k).select("query_id", F.col("score").cast("double").alias("f"))
-    known = asked.join(floors, asked["id"] == floors["query_id"], "left").select(
-        "id", "v", "norm", F.coalesce("f", F.lit(float("-inf"))).alias("floor"))
+    scores = blind.select("qrows", "qids", "qvs", "floors").mapInPandas(_scan(shared, width, k, leading, lead), SCORES)
+    floors = scores.filter(F.col("nth") == k).select("query_row", F.col("score").cast("double").alias("f"))
+    known = asked.join(floors, asked["row"] == floors["query_row"], "left").select(
+        "row", "id", "v", "norm", F.coalesce("f", F.lit(float("-inf"))).alias("floor"))
     blocks = written(_ask(known, queries, width), "query-blocks")
     # Every block of queries visits every block of candidates that is long enough for it.
     parts = shuffle_partitions(spark)
-    dealt = candidates.select("top", "ids", "vs", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("slot"))
+    dealt = candidates.select("top", "rows", "ids", "vs", F.pmod(F.xxhash64("rows"), F.lit(parts)).cast("int").alias("slot"))
     pairs = (blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("slot")).join(dealt, "slot")
-             .filter(F.col("top") * (1 + 1e-9) + 1e-6 >= F.col("need")).select("qids", "qvs", "floors", "ids", "vs"))
+             .filter(F.col("top") * (1 + 1e-9) + 1e-6 >= F.col("need")).select("qrows", "qids", "qvs", "floors", "rows", "ids", "vs"))
     found = pairs.mapInPandas(_scan(shared, width, k, leading), SCORES)
     # Under each window only the k best of a task are shuffled.
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-SCORES = "query_id long, vec_id long, score long, nth long"
+SCORES = "query_row long, query_id long, vec_id long, score long, nth long"
 
 
 def _ask(asked: DataFrame, size: int, width: int) -> DataFrame:
@@ -122,17 +125,18 @@ def _ask(asked: DataFrame, size: int, width: int) -> DataFrame:
         for pdf in batches:
             for i in range(0, len(pdf), size):
                 p = pdf.iloc[i:i + size]
-                yield pd.DataFrame({"need": [float(p["need"].min())], "qids": [p["id"].to_numpy(np.int64).tobytes()],
+                yield pd.DataFrame({"need": [float(p["need"].min())], "qrows": [p["row"].to_numpy(np.int64).tobytes()],
+                                    "qids": [p["id"].to_numpy(np.int64).tobytes()],
                                     "qvs": [_matrix(p["v"], width).tobytes()], "floors": [p["floor"].to_numpy(float).tobytes()]})
 
     need = F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")).otherwise(F.lit(float("-inf")))
-    ordered = asked.withColumn("need", need).repartitionByRange("need", "id").sortWithinPartitions("need", "id")
-    return ordered.select("id", "v", "floor", "need").mapInPandas(run, "need double, qids binary, qvs binary, floors binary")
+    ordered = asked.withColumn("need", need).repartitionByRange("need", "row").sortWithinPartitions("need", "row")
+    return ordered.select("row", "id", "v", "floor", "need").mapInPandas(run, "need double, qrows binary, qids binary, qvs binary, floors binary")
 
 
 def _scan(shared, width: int, k: int, leading: int, lead=None):
     """Pairs of a query block and a candidate block (or ``lead``) to the ``k`` best of each query there."""
-    def best(q, c, qid, cid, floor, basis):
+    def best(q, c, qrow, qid, row, cid, floor, basis):
         out = []
         with np.errstate(over="ignore", invalid="ignore"):
             qr, cr = q @ basis, c @ basis
@@ -141,7 +145,7 @@ def _scan(shared, width: int, k: int, leading: int, lead=None):
             rest = np.linalg.norm(qr[:, m:], axis=1)[:, None] * np.linalg.norm(cr[:, m:], axis=1)[None, :]
             slack = 1e-9 * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :] + 1e-6
             alive = ~(partial + rest + slack < floor[:, None])         # a bound that isn't a number can't prune
-        alive &= qid[:, None] != cid[None, :]
+        alive &= qrow[:, None] != row[None, :]
         small = np.abs(q).max(initial=0.0) * np.abs(c).max(initial=0.0) * width < EXACT
         for i in range(len(q)):
             at = np.flatnonzero(alive[i])
@@ -151,16 +155,16 @@ def _scan(shared, width: int, k: int, leading: int, lead=None):
                 exact = [sum(int(a) * int(b) for a, b in zip(c[j], q[i])) for j in at]
                 score = np.array([min(max(x, -2 ** 63), 2 ** 63 - 1) for x in exact], np.int64)
             top = np.lexsort((cid[at], ~score))[:k]                      # ~score falls as score grows, without overflow
-            out.append((np.full(len(top), qid[i]), cid[at][top], score[top], np.arange(1, len(top) + 1)))
+            out.append((np.full(len(top), qrow[i]), np.full(len(top), qid[i]), cid[at][top], score[top], np.arange(1, len(top) + 1)))
         return out
 
     def run(batches):
         basis = shared.value
         for pdf in batches:
-            blocks = zip(pdf["ids"], pdf["vs"]) if lead is None else [lead.value] * len(pdf)
-            for qids, qvs, floors, (ids, vs) in zip(pdf["qids"], pdf["qvs"], pdf["floors"], blocks):
+            blocks = zip(pdf["rows"], pdf["ids"], pdf["vs"]) if lead is None else [lead.value] * len(pdf)
+            for qrows, qids, qvs, floors, (rows, ids, vs) in zip(pdf["qrows"], pdf["qids"], pdf["qvs"], pdf["floors"], blocks):
                 found = best(np.frombuffer(qvs).reshape(-1, width), np.frombuffer(vs).reshape(-1, width),
-                             np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(floors), basis)
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "nth"), map(np.concatenate, zip(*found)))))
+                             *(np.frombuffer(x, np.int64) for x in (qrows, qids, rows, ids)), np.frombuffer(floors), basis)
+                yield pd.DataFrame(dict(zip(("query_row", "query_id", "vec_id", "score", "nth"), map(np.concatenate, zip(*found)))))
 
     return run

@@ -7,21 +7,17 @@ from retenta.llm import topk
 
 
 def brute(data, k, step):
-    best = {}
-    for i, v in data:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        v = [math.floor(256 * float(np.float32(x))) for x in v]
-        best[i] = max(best.get(i, v), v)
+    kept = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in data
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in best.items():
+    for m, (q, a) in enumerate(kept):
         if q % step == 0:
             scores = []
-            for c, b in best.items():
-                if c != q:
+            for n, (c, b) in enumerate(kept):
+                if n != m:
                     s = sum(x * y for x, y in zip(a, b))
                     scores.append((-min(max(s, -2 ** 63), 2 ** 63 - 1), c))
-            out += [(q, n, c, -s) for n, (s, c) in enumerate(sorted(scores)[:k], 1)]
+            out += [(q, r, c, -s) for r, (s, c) in enumerate(sorted(scores)[:k], 1)]
     return sorted(out)
 
 
@@ -45,3 +41,11 @@ def test_few_rows_and_large_components(spark):
     data = [(0, [3e18, 1.0]), (1, [3e18, 2.0]), (2, [-3e18, 0.0]), (50, [1e12, 1e12])]
     assert run(spark, data) == brute(data, 5, 50)
     assert run(spark, [(50, [1.0])]) == [] and run(spark, []) == []
+
+
+def test_rows_of_a_repeated_id_count_one_by_one(spark):
+    data = [(50, [1.0, 0.0]), (50, [9.0, 0.0]), (1, [3.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0])]
+    got = run(spark, data)
+    assert got == brute(data, 5, 50) and len(got) == 8
+    twice = [(100, [1.0]), (100, [1.0]), (3, [1.0])]
+    assert run(spark, twice) == brute(twice, 5, 50) == [(100, 1, 3, 65536), (100, 1, 3, 65536), (100, 2, 100, 65536), (100, 2, 100, 65536)]
