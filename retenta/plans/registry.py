@@ -22,7 +22,7 @@ from ..params import RECALL_TARGETS, SEED, TEST_FRACTION
 from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import months
 from ..sources.fixtures import load_fixture_tables
-from . import dashboards, features, incremental, ingest, kpis, modelling
+from . import dashboards, features, incremental, ingest, kpis, modelling, summaries
 
 D3_MIN_CUSTOMERS_FIXTURE = 100
 D4_CUTOFF_FIXTURE = "1996-01-01"
@@ -211,6 +211,10 @@ D5_SINCE_FIXTURE = 199601
 QUERIES.update({
     "d5_monthly_trend_by_months": _trend_by_months(),
     "d5_monthly_trend_since": _trend_by_months(D5_SINCE_FIXTURE),
+    # stored sketches a month, merged: the opt-in beside A18, L5 and A3
+    "a18_sketched_medians": _on_tables(summaries.sketched_medians),
+    "l5_sketched_categories": _on_tables(summaries.sketched_categories),
+    "a3_sketched_persons": _on_tables(summaries.sketched_persons),
 })
 
 
