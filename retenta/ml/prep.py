@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import is_weekend, weekday_monday0
 from ..functions.exprs import flag, null_flag, safe_div
 from ..operators.aggregates import value_counts
-from ..operators.order_stats import exact_medians, ranked_values
+from ..operators.order_stats import ranked_values
+from ..operators.selection import median_values, values_at_ranks
 from ..session import materialize
 from ..params import LOW_REVIEW_MAX, SEED, TEST_FRACTION, TOP_CATEGORIES
 
@@ -29,6 +30,7 @@ NUMERIC = {
                  "payment_installments", "review_score", "avg_item_value",
                  "purchase_month", "purchase_dow"],
 }
+MOST_LEVELS = 10_000     # one-hot columns in all
 
 
 def add_flags(df: DataFrame, variant: str = "improved") -> DataFrame:
@@ -52,7 +54,7 @@ def add_flags(df: DataFrame, variant: str = "improved") -> DataFrame:
 def imputation_values(df: DataFrame, variant: str = "improved") -> dict:
     """Exact medians (pandas semantics) over all rows before the drop (M4)."""
     med_cols = ["delivery_days", "review_score"] + (["avg_item_value"] if variant == "improved" else [])
-    return exact_medians(df, med_cols)
+    return median_values(df, med_cols)
 
 
 def impute(df: DataFrame, medians: dict) -> DataFrame:
@@ -74,24 +76,28 @@ def bucket_top_categories(df: DataFrame, col: str = "product_category",
                           n: int = TOP_CATEGORIES, other: str = "other") -> DataFrame:
     """M6: keep the n most frequent values (count desc, value asc), the rest -> ``other``.
 
-    The top list has at most n rows, so broadcasting it is size-bounded by construction.
+    The n values of the list reach the driver and become literals, so that frames built on the result don't count again.
     """
-    top = value_counts(df, col, top=n).select(F.col(col).alias("_top"))
-    j = df.join(F.broadcast(top), F.col(col).eqNullSafe(F.col("_top")), "left")
-    return j.withColumn(col, F.when(F.col("_top").isNotNull(), F.col(col))
-                        .otherwise(F.lit(other))).drop("_top")
+    top = [r[0] for r in value_counts(df, col, top=n).collect()]
+    kept = F.col(col).isin([v for v in top if v is not None])
+    if None in top:
+        kept = kept | F.col(col).isNull()
+    return df.withColumn(col, F.when(kept, F.col(col)).otherwise(F.lit(other)))
 
 
-def category_levels(df: DataFrame, cols=CATEGORICAL) -> dict[str, list]:
+def category_levels(df: DataFrame, cols=CATEGORICAL, most: int = MOST_LEVELS) -> dict[str, list]:
     """Sorted distinct levels per categorical column; NULL is no level.
 
-    The encoded frame has a column per level, so what is collected is as large
-    as that frame's schema.
+    The encoded frame has a column per level. More than ``most`` levels in all are an
+    error: such columns are to be bucketed first.
     """
     pairs = [F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("l")) for c in cols]
     rows = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").filter("l is not null").distinct()
     out: dict[str, list] = {c: [] for c in cols}
-    for r in rows.collect():
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} levels in {', '.join(cols)}: bucket them first")
+    for r in found:
         out[r["c"]].append(r["l"])
     return {c: sorted(levels) for c, levels in out.items()}
 
@@ -144,15 +150,14 @@ def stratified_split(df: DataFrame, label: str = LABEL, id_col: str = "customer_
                      key: F.Column | None = None) -> DataFrame:
     """M9: add ``is_test``: per class the rows with the smallest (key, id), as many as ``share_of_test``.
 
-    The cut per class is an exact k-th statistic of the key over (label, key, id) alone;
+    The cut per class is an exact k-th statistic of the key (a number) by narrowing histograms over (label, key, id), written once;
     the frame itself only gets a filter expression. Rows tied with the cut on the key go in
     id order, by a second cut on the id. Rows of equal id and key fall on one side;
     rows without a key are training rows. The classes
     of a label are few (their counts reach the driver).
     """
     key = key if key is not None else hash_key(id_col, seed)
-    k = df.select(F.col(label).alias("_g"), key.alias("_key"), F.col(id_col).alias("_id"))
-    ranked = ranked_values(k, "_key", ("_g",))
+    k = materialize(df.select(F.col(label).alias("_g"), key.alias("_key"), F.col(id_col).alias("_id")))
     counts = {r["_g"]: r["n"] for r in k.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
     need = {c: n for c, n in share_of_test(counts, test_fraction).items() if n > 0}
 
@@ -163,7 +168,8 @@ def stratified_split(df: DataFrame, label: str = LABEL, id_col: str = "customer_
             hit = hit | (F.col("_g").eqNullSafe(F.lit(c)) & (F.col("below") < n) & (F.col("below") + F.col("n") >= n))
         return {r["_g"]: r for r in of.filter(hit).collect()}
 
-    cuts = last(ranked, need)
+    at = values_at_ranks(k, lambda c, _: [need[c] - 1] if c in need else [], "_key")
+    cuts = {c: {"_key": v, "below": below, "n": n} for (c, _), (v, below, n) in at.items()}
     # the usual case is a unique cut key; else only the rows tied with it are ranked by id
     tied = {c: need[c] - r["below"] for c, r in cuts.items() if r["below"] + r["n"] > need[c]}
     at_cut = F.lit(False)
@@ -219,7 +225,7 @@ def prepare(features: DataFrame, variant: str = "improved") -> tuple[DataFrame,
     """
     f = materialize(add_flags(features, variant))
     med = imputation_values(f, variant)
-    f = materialize(bucket_top_categories(drop_incomplete(impute(f, med))))
+    f = bucket_top_categories(drop_incomplete(impute(f, med)))
     levels = category_levels(f)
     return one_hot(f, levels), {"medians": med, "levels": levels}
 
