@@ -18,28 +18,36 @@ from .tables import Tables
 
 MONTH = "order_month"
 LAID_OUT = ("orders", "order_items")
+# How many order ids may be sent to every executor, and how many orders (with their items) a writing task gets.
+FEW_ORDERS, ORDERS_A_TASK = 1_000_000, 50_000
 
 
 def month_of(ts) -> Column:
     return F.year(ts) * 100 + F.month(ts)
 
 
-def _with_months(t: Tables) -> dict[str, DataFrame]:
-    orders = t.orders.withColumn(MONTH, month_of(TS))
-    items = t.order_items.join(orders.select("order_id", MONTH), "order_id", "left").select(*t.order_items.columns, MONTH)
-    return {"orders": orders, "order_items": items}
+def by_order(ids: DataFrame, n: int) -> DataFrame:
+    """``ids``, ``n`` rows with an order_id, as the side of a join that is hashed: few are sent to every executor, else both
+    sides are dealt by order_id and each task hashes its share. The items, the larger side, are never sorted."""
+    return F.broadcast(ids) if n <= FEW_ORDERS else ids.hint("shuffle_hash")
 
 
-def _write(frames: dict[str, DataFrame], path: str, files: int, mode: str) -> None:
+def _write(frames: dict[str, DataFrame], path: str, files: int, mode: str, n_orders: int) -> None:
+    """The writer sorts a task's rows by month: more orders are dealt to more tasks, so that a sort fits in memory."""
+    parts = int(next(iter(frames.values())).sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = -(-n_orders // ORDERS_A_TASK)
     for name, df in frames.items():
-        dealt = df.repartition(MONTH, F.pmod(F.xxhash64("order_id"), F.lit(files)))
+        keys = [F.col(MONTH), F.pmod(F.xxhash64("order_id"), F.lit(files))]
+        dealt = df.repartition(tasks, *keys) if tasks > parts else df.repartition(*keys)
         (dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(MONTH)
          .parquet(f"{path.rstrip('/')}/{name}"))
 
 
 def write_months(t: Tables, path: str, files: int = 8) -> None:
     """Write the orders and order items of ``t``, a folder a month, into a new ``path``."""
-    _write(_with_months(t), path, files, "errorifexists")
+    n, orders = t.orders.count(), t.orders.withColumn(MONTH, month_of(TS))
+    items = t.order_items.join(by_order(orders.select("order_id", MONTH), n), "order_id", "left").select(*t.order_items.columns, MONTH)
+    _write({"orders": orders, "order_items": items}, path, files, "errorifexists", n)
 
 
 def replace_months(t: Tables, path: str, files: int = 8) -> None:
@@ -49,10 +57,9 @@ def replace_months(t: Tables, path: str, files: int = 8) -> None:
     an order moves to another month, both months must be given. Items without an order in ``t`` aren't written.
     Items of a month for which ``t`` has orders but no item at all stay; the two tables are replaced one after the other.
     """
-    frames = _with_months(t)
-    given = frames["orders"].select("order_id", MONTH)
-    items = t.order_items.join(given, "order_id").select(*t.order_items.columns, MONTH)
-    _write({"orders": frames["orders"], "order_items": items}, path, files, "overwrite")
+    n, orders = t.orders.count(), t.orders.withColumn(MONTH, month_of(TS))
+    items = t.order_items.join(by_order(orders.select("order_id", MONTH), n), "order_id").select(*t.order_items.columns, MONTH)
+    _write({"orders": orders, "order_items": items}, path, files, "overwrite", n)
 
 
 def read_months(spark: SparkSession, path: str, rest: Tables, since: int | None = None, until: int | None = None) -> Tables:

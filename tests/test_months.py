@@ -65,3 +65,23 @@ def test_one_month_is_replaced_alone(spark, laid_out):
     # A batch without orders replaces nothing.
     months.replace_months(replace(t, orders=t.orders.limit(0)), path)
     assert back.orders.count() == t.orders.count()
+
+
+def test_items_are_joined_without_a_sort(spark, tmp_path, monkeypatch):
+    """The items are the larger side: a sort of them spills, a hash table of the orders' ids does not."""
+    t = edge_tables(spark)
+    monkeypatch.setattr(months, "FEW_ORDERS", 0)
+    monkeypatch.setattr(months, "ORDERS_A_TASK", 1)
+    plans, write = [], months._write
+
+    def seen(frames, *rest):
+        plans.append(frames["order_items"]._jdf.queryExecution().executedPlan().toString())
+        write(frames, *rest)
+
+    monkeypatch.setattr(months, "_write", seen)
+    path = str(tmp_path / "m")
+    months.write_months(t, path)
+    months.replace_months(t, path)
+    assert all("ShuffledHashJoin" in p and "SortMergeJoin" not in p for p in plans) and len(plans) == 2
+    back = months.read_months(spark, path, t)
+    assert bag(back.orders) == bag(t.orders) and bag(back.order_items) == bag(t.order_items)
