@@ -78,9 +78,7 @@ def update(kept: Kept, batch: Tables) -> Kept:
     earlier = kept.state.alias("s").join(touched.alias("t"), _same("s", "t", PERSON), "left_semi")
     rebuilt = materialize(merged_state(earlier, fresh))
     state = kept.state.alias("s").join(touched.alias("t"), _same("s", "t", PERSON), "left_anti").unionByName(rebuilt)
-    wanted = rebuilt.select("first.order_id").distinct()
-    only = {n: both.as_dict()[n].join(wanted, "order_id", "left_semi") for n in FACTS}
-    rows = features_of_first_orders(dataclasses.replace(both, **only), _first_orders(rebuilt))
+    rows = features_of_first_orders(both, _first_orders(rebuilt))
     carried = kept.features.alias("s").join(touched.alias("t"), _same("s", "t", PERSON), "left_anti")
     return Kept(both, materialize(state), materialize(carried.unionByName(rows).select(*FEATURE_COLUMNS)))
 

@@ -4,7 +4,8 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from retenta.plans import incremental
+from retenta.operators import base
+from retenta.plans import features, incremental
 from retenta.plans.features import first_order_features
 from retenta.sources.tables import Tables
 from tests.edge_tables import edge_tables
@@ -44,3 +45,17 @@ def test_untouched_rows_are_carried_over(spark):
     assert touched == {"D"}                                         # o7 is the first order of person D
     assert after.filter("customer_unique_id = 'D'").first()["review_score"] == 2
     assert rows(incremental.update(marked, empty(t)).features) == rows(marked.features)
+
+
+def test_only_facts_of_first_orders_are_aggregated(spark):
+    """Each fact table is cut to the first orders, and shuffled once as plain rows, before it is aggregated."""
+    t = edge_tables(spark)
+    fo = base.first_order_per_person(base.person_orders(t), payload=incremental.PAYLOAD)
+    fo = spark.createDataFrame(fo.collect(), fo.schema)
+    plan = features.features_of_first_orders(t, fo)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 3
+    lines = plan.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i in (i for i, line in enumerate(lines) if "Aggregate [order_id" in line):
+        under = [lines[j] for j in range(i + 1, len(lines)) if all(d > depth[i] for d in depth[i + 1:j + 1])]
+        assert any("Join LeftSemi" in line for line in under)
