@@ -86,6 +86,26 @@ def test_crowded_cores_of_near_copies(spark):
         assert [got[t] for _, t in data] == [w[2:4] for w in want]
 
 
+def test_a_span_has_one_range(spark):
+    # Near copies whose repeated starts lie apart: a range each would be joined to every occurrence of a segment.
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    texts = []
+    for i in range(80):
+        t = list(base)
+        for at in rng.sample((5, 120, 410, 455, 500, 780, 890), 3):
+            t[at] = rng.choice("XYZ")
+        texts.append("".join(t))
+    texts = sorted(set(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    total = sum(len(suffixdedup.spans([t.encode()], 400, 64, 200)[0]) for t in texts)
+    want = brute([(d, t.encode()) for d, t in enumerate(texts)], 400)
+    for crowd in (1, 4, 256):
+        _, ranges = suffixdedup.removals(docs, crowd=crowd)
+        assert 0 < ranges.count() <= total
+    assert rows(suffixdedup.deduplicate(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_planted_passages_all_go_and_clean_texts_stay(spark):
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
