@@ -1,11 +1,13 @@
 """All-or-nothing loads: a bad row or a broken constraint leaves the old version of all eight tables."""
 
 import dataclasses
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from retenta import schemas
+from retenta.session import together
 from retenta.sources import csv, sinks, versions
 from tests.edge_tables import edge_tables
 
@@ -101,3 +103,21 @@ def test_job_loads_checks_and_lists_rejects(spark, tmp_path):
     assert contents(versions.live(spark, str(tmp_path / "store"))) == contents(t)
     jobs.main(["rejects", str(tmp_path / "csv"), str(tmp_path / "rejects")])
     assert spark.read.option("header", True).csv(str(tmp_path / "rejects")).count() == 0
+
+
+def test_parents_are_loaded_in_an_earlier_step():
+    at = {name: i for i, names in enumerate(schemas.LOAD_STEPS) for name in names}
+    assert set(at) == set(schemas.LOAD_ORDER) and sum(map(len, schemas.LOAD_STEPS)) == len(at) == 8
+    assert all(at[parent] < at[child] for child, _, parent, _ in schemas.FOREIGN_KEYS)
+
+
+def test_actions_run_side_by_side_and_the_first_failure_is_raised(spark):
+    both, ended = threading.Barrier(2, timeout=20), []
+
+    def fail(text):
+        raise ValueError(text)
+
+    together(spark, [both.wait, both.wait])
+    with pytest.raises(ValueError, match="first"):
+        together(spark, [lambda: fail("first"), lambda: ended.append(spark.range(3).count()), lambda: fail("second")])
+    assert ended == [3]
