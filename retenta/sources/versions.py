@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import quality
+from ..session import together
 from .tables import Tables, from_parquet_dir
 
 MANIFESTS, VERSIONS = "manifests", "versions"
@@ -86,8 +87,8 @@ def stage(tables: Tables, root: str) -> Staged:
     taken = _numbers(spark, root)
     staged = Staged(root, uuid.uuid4().hex, taken[0] if taken else 0, tables)
     frames = tables.as_dict()
-    for name in schemas.LOAD_ORDER:
-        frames[name].write.parquet(staged.path(name))
+    for names in schemas.LOAD_STEPS:
+        together(spark, (lambda name=name: frames[name].write.parquet(staged.path(name)) for name in names))
     return Staged(root, staged.name, staged.based_on, from_parquet_dir(spark, f"{root}/{VERSIONS}/{staged.name}"))
 
 
