@@ -49,3 +49,15 @@ def test_rows_of_a_repeated_id_count_one_by_one(spark):
     assert got == brute(data, 5, 50) and len(got) == 8
     twice = [(100, [1.0]), (100, [1.0]), (3, [1.0])]
     assert run(spark, twice) == brute(twice, 5, 50) == [(100, 1, 3, 65536), (100, 1, 3, 65536), (100, 2, 100, 65536), (100, 2, 100, 65536)]
+
+
+def test_blocks_meet_in_cells_and_are_never_broadcast(spark, monkeypatch):
+    """A copy of all queries for each partition, in one broadcast, grows with queries times partitions."""
+    rng = np.random.default_rng(8)
+    data = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(300 + i, [2.0] * 8) for i in range(300)]
+    monkeypatch.setattr(topk, "CELL", (2, 3))
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, k=5, query_step=5, block=16, queries=4, leading=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan and "FlatMapCoGroupsInPandas" in plan
+    assert sorted(map(tuple, got.collect())) == brute(data, 5, 5)
