@@ -82,16 +82,27 @@ def live_manifest(spark: SparkSession, root: str) -> tuple[int, dict] | None:
 
 
 def stage(tables: Tables, root: str) -> Staged:
-    """Write all eight tables, parents first, under a new version's name. A bad row fails here, and nothing is live."""
+    """Write all eight tables, parents first, under a new version's name. A bad row fails here: nothing is live, and what was
+    written goes."""
     root, spark = root.rstrip("/"), tables.orders.sparkSession
     taken = _numbers(spark, root)
     staged = Staged(root, uuid.uuid4().hex, taken[0] if taken else 0, tables)
     frames = tables.as_dict()
-    for names in schemas.LOAD_STEPS:
-        together(spark, (lambda name=name: frames[name].write.parquet(staged.path(name)) for name in names))
+    try:
+        for names in schemas.LOAD_STEPS:
+            together(spark, (lambda name=name: frames[name].write.option("compression", "zstd").parquet(staged.path(name)) for name in names))
+    except BaseException:
+        discard(staged)
+        raise
     return Staged(root, staged.name, staged.based_on, from_parquet_dir(spark, f"{root}/{VERSIONS}/{staged.name}"))
 
 
+def discard(staged: Staged) -> None:
+    """Delete staged tables that no manifest will name."""
+    fs, path = _files(staged.tables.orders.sparkSession, f"{staged.root}/{VERSIONS}/{staged.name}")
+    fs.delete(path, True)
+
+
 def gate(staged: Staged, allowed: frozenset[tuple[str, str]] = frozenset()) -> list[tuple]:
     """The constraint report (S6-S8) of the staged tables as (kind, table, columns, rows); raises ``LoadRejected`` where
     a constraint that isn't among the ``allowed`` (kind, table) pairs is broken."""
@@ -128,7 +139,12 @@ def _write(spark: SparkSession, root: str, number: int, body: str) -> None:
 def replace_all(tables: Tables, root: str, allowed: frozenset[tuple[str, str]] = frozenset(), check: bool = True) -> int:
     """Stage, check and publish: either all eight tables are replaced, or none. Without ``check``, constraints aren't looked at."""
     staged = stage(tables, root)
-    return publish(staged, gate(staged, allowed) if check else [])
+    try:
+        report = gate(staged, allowed) if check else []
+    except LoadRejected:
+        discard(staged)
+        raise
+    return publish(staged, report)
 
 
 def live(spark: SparkSession, root: str) -> Tables:

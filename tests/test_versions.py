@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retenta import schemas
+from retenta.plans import ingest
 from retenta.session import together
 from retenta.sources import csv, sinks, versions
 from tests.edge_tables import edge_tables
@@ -121,3 +122,31 @@ def test_actions_run_side_by_side_and_the_first_failure_is_raised(spark):
     with pytest.raises(ValueError, match="first"):
         together(spark, [lambda: fail("first"), lambda: ended.append(spark.range(3).count()), lambda: fail("second")])
     assert ended == [3]
+
+
+def test_failed_loads_leave_no_tables_behind(spark, tmp_path, store):
+    t, root = store
+    bad = tmp_path / "orders.csv"
+    bad.write_text(",".join(schemas.SCHEMAS["orders"].names) + "\no1,c1,shipped,yesterday,,,,\n")
+    with pytest.raises(Exception, match="MALFORMED|yesterday|FAILFAST"):
+        versions.replace_all(dataclasses.replace(t, orders=csv.read_csv(spark, str(bad), "orders")), root, BROKEN_BY_DESIGN)
+    with pytest.raises(versions.LoadRejected):
+        versions.replace_all(dataclasses.replace(t, customers=t.customers.filter("customer_id <> 'c1'")), root, BROKEN_BY_DESIGN)
+    held = [p.name for p in (tmp_path / "store" / "versions").iterdir()]
+    assert held == [versions.live_manifest(spark, root)[1]["version"]]
+    assert contents(versions.live(spark, root)) == contents(t)
+
+
+def test_csv_of_a_load_is_compressed_and_dealt_to_files(spark, tmp_path, monkeypatch):
+    """As plain text the CSV copies of all tables filled the disk; one compressed file must not hold a whole table."""
+    t = edge_tables(spark)
+    many = t.orders.filter("order_id = 'o1'").crossJoin(spark.range(5000)).withColumn("order_id", F.col("id").cast("string")).drop("id")
+    t = dataclasses.replace(t, orders=many.coalesce(1))
+    monkeypatch.setattr(sinks, "ZIPPED_ROWS", 2000)
+    ingest.write_csvs(t, str(tmp_path / "csv"))
+    sinks.write_csv(ingest.conform(t.orders, "orders"), str(tmp_path / "plain"))
+    size = lambda folder: sum(p.stat().st_size for p in (tmp_path / folder).glob("part-*"))
+    assert size("csv/orders") * 3 < size("plain")
+    assert len(list((tmp_path / "csv/orders").glob("part-*"))) == 3
+    back = csv.read_csv_dir(spark, {name: str(tmp_path / "csv" / name) for name in schemas.SCHEMAS})
+    assert contents(back) == contents(t)
